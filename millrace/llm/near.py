@@ -1,0 +1,129 @@
+"""Exact set-similarity joins on word runs: prefix filter on rare runs, then verification.
+
+Texts are compared by the Jaccard index of their sets of word runs (five words unless told
+otherwise). Texts with equal sets form one *class*; all joins work on classes, so any number of
+exact copies costs one row. A class is named by a 128-bit sum over its hashed runs (``c1``, ``c2``).
+Runs are compared by 64-bit hashes: the chance that a given pair's overlap differs from the true one
+is below ``|A| * |B| / 2**64``.
+
+No pair at or above the threshold is lost: runs are put in one global order, rarest first, and two
+sets with similarity >= t must share one of the first ``n - ceil(t n) + 1`` runs of each. The order
+comes from a sketch of document frequencies counted over all texts; whatever its collisions, it is
+one fixed order, so it affects speed only.
+"""
+
+from __future__ import annotations
+
+import math
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from .words import U, Words, chunks, mix, signed
+
+_PIECE = 1 << 14
+
+
+def _distinct_runs(texts: list[str], run: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the distinct runs of each text, sorted by both."""
+    text, h, _ = Words(texts).runs(run)
+    order = np.lexsort((h, text))
+    text, h = text[order], h[order]
+    new = np.ones(len(h), bool)
+    new[1:] = (h[1:] != h[:-1]) | (text[1:] != text[:-1])
+    return text[new], h[new]
+
+
+def frequency_sketch(texts: DataFrame, text: str, run: int = 5, bits: int = 20) -> bytes:
+    """One byte for each of ``2**bits`` buckets of runs: 8 log2 of one plus the texts holding one of them.
+
+    Every text counts. Each task adds up its own array, the arrays are added by piece, and the
+    driver gets ``2**bits`` bytes, whatever the input's size.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, np.int64)
+        for b in batches:
+            for _, part in chunks(b.column(0).to_pylist()):
+                total += np.bincount((_distinct_runs(part, run)[1] >> U(64 - bits)).view(np.int64), minlength=1 << bits)
+        at = [i for i in range(0, 1 << bits, _PIECE) if total[i : i + _PIECE].any()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([i // _PIECE for i in at], pa.int32()), pa.array([total[i : i + _PIECE].astype(np.uint32).tobytes() for i in at], pa.binary())],
+            names=["piece", "counts"],
+        )
+
+    def add(table: pa.Table) -> pa.Table:
+        total = np.zeros(_PIECE, np.int64)
+        for x in table.column("counts"):
+            part = np.frombuffer(x.as_py(), np.uint32)
+            total[: len(part)] += part
+        level = np.minimum(255, np.log2(total + 1) * 8).astype(np.uint8)
+        return pa.table({"piece": table.column("piece")[:1], "levels": pa.array([level.tobytes()], pa.binary())})
+
+    pieces = texts.select(text).mapInArrow(count, "piece int, counts binary").groupBy("piece").applyInArrow(add, "piece int, levels binary")
+    out = np.zeros(1 << bits, np.uint8)
+    for row in pieces.collect():  # at most 2**bits bytes in all
+        part = np.frombuffer(row["levels"], np.uint8)[: len(out) - row["piece"] * _PIECE]
+        out[row["piece"] * _PIECE :][: len(part)] = part
+    return out.tobytes()
+
+
+def shingled(records: DataFrame, text: str, keep: list[str], sketch: bytes, run: int = 5) -> DataFrame:
+    """``keep`` and, of each text with any word, ``c1, c2`` (its class), ``n`` and ``runs``, rarest first."""
+    schema = records.select(*keep).schema
+    shared = records.sparkSession.sparkContext.broadcast(sketch)  # of fixed size
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", c1 bigint, c2 bigint, n int, runs array<bigint>"
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        level = np.frombuffer(shared.value, np.uint8)
+        shift = U(64 - (len(level).bit_length() - 1))
+        for b in batches:
+            for first, part in chunks(b.column(len(keep)).to_pylist()):
+                of, h = _distinct_runs(part, run)
+                order = np.lexsort((level[(h >> shift).view(np.int64)], of))  # stable: ties by hash
+                h = h[order]
+                at = np.searchsorted(of, np.arange(len(part) + 1))
+                some = np.flatnonzero(np.diff(at))
+                begin = at[some]
+                if not len(some):
+                    continue
+                c1 = np.add.reduceat(mix(h), begin)
+                c2 = np.add.reduceat(mix(h ^ U(0xA5A5A5A5A5A5A5A5)), begin)
+                lists = pa.ListArray.from_arrays(pa.array(np.append(begin, len(h)), pa.int32()), pa.array(signed(h)))
+                cols = [b.column(i).slice(first, len(part)).take(pa.array(some)) for i in range(len(keep))]
+                cols += [pa.array(signed(c1)), pa.array(signed(c2)), pa.array(np.diff(np.append(begin, len(h))), pa.int32()), lists]
+                yield pa.RecordBatch.from_arrays(cols, names=[*keep, "c1", "c2", "n", "runs"])
+
+    return records.select(*keep, F.col(text)).mapInArrow(make, ddl)
+
+
+def prefix_postings(classes: DataFrame, t: float, keep: list[str]) -> DataFrame:
+    """``run, pos`` and ``keep`` for each of the rarest runs of each class that the prefix filter needs."""
+    length = F.col("n") - F.ceil(F.col("n") * F.lit(t) - F.lit(1e-9)).cast("int") + F.lit(1)
+    return classes.select(*keep, F.posexplode(F.slice("runs", F.lit(1), length)).alias("pos", "run"))
+
+
+def may_match(n_a: Column, n_b: Column, pos_a: Column, pos_b: Column, t: float) -> Column:
+    """Length and position filter: the first shared run still allows the overlap that ``t`` needs."""
+    need = F.ceil((n_a + n_b) * F.lit(t / (1 + t)) - F.lit(1e-9))
+    return (F.least(n_a, n_b) >= F.greatest(n_a, n_b) * F.lit(t) - F.lit(1e-9)) & (F.least(n_a - pos_a, n_b - pos_b) >= need)
+
+
+def verified(pairs: DataFrame, classes: DataFrame, t: float) -> DataFrame:
+    """Of pairs ``a1, a2, b1, b2`` of classes those with similarity >= t, with ``similarity``."""
+    a = classes.select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("n").alias("n_a"), F.col("runs").alias("runs_a"))
+    b = classes.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("n").alias("n_b"), F.col("runs").alias("runs_b"))
+    common = F.size(F.array_intersect("runs_a", "runs_b"))
+    return (
+        pairs.join(a, ["a1", "a2"]).join(b, ["b1", "b2"])
+        .withColumn("common", common)
+        .select("a1", "a2", "b1", "b2", (F.col("common") / (F.col("n_a") + F.col("n_b") - F.col("common"))).alias("similarity"))
+        .where(F.col("similarity") >= F.lit(t))
+    )
+
+
+def prefix_length(n: int, t: float) -> int:
+    return n - math.ceil(n * t - 1e-9) + 1
