@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, overlap, repetition
+from . import leakage, overlap, pivots, repetition, spans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,23 @@ def p2_report(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.overlap_report(pairs, members, info)
 
 
+# Problem 3
+
+
+def _quality_problems(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "gpt_pairs_quality").select(F.col("sample_id").alias("key"), F.col("synthetic_problem").alias("text"))
+
+
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    pairs, members = pivots.near_duplicate_classes(_quality_problems(spark, sf), threshold=0.6)
+    return pivots.record_pairs(pairs, members).select(F.col("a").alias("sample_a"), F.col("b").alias("sample_b"))
+
+
+def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
+    pairs, members = pivots.near_duplicate_classes(_quality_problems(spark, sf), threshold=0.8)
+    return pivots.groups(pairs, members).select(F.col("key").alias("sample_id"), "group_id", "copies", "links")
+
+
 # Problem 6
 
 
@@ -76,6 +93,17 @@ def p7_aligned(spark: SparkSession, sf: str) -> DataFrame:
     return _leaks(spark, sf)
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p6_found, p6_shares, p7_found, p7_aligned)}
+# Problem 9
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.shared_spans(table(spark, sf, "documents")).where("shared_chars > 0").select("doc_id")
+
+
+def p9_shared(spark: SparkSession, sf: str) -> DataFrame:
+    return spans.shared_spans(table(spark, sf, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_groups, p6_found, p6_shares, p7_found, p7_aligned, p9_found, p9_shared)}
 
 SQL: dict[str, str] = {}
