@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import leakage, overlap, pivots, repetition, spans
+from . import epochs, leakage, mixing, overlap, pivots, proportions, repetition, spans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,27 @@ def tidy(c: str | Column) -> Column:
     return F.lower(F.trim(c))
 
 
+# Problem 1
+
+
+def _seed_sample(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    seeds = table(spark, sf, "numina_5k_seeds")
+    size = seeds.agg(F.count_distinct("parent_seed_id")).first()[0] // 5
+    return proportions.sample_to_targets(seeds.select(F.col("parent_seed_id").alias("id"), "source", "problem_type"), table(spark, sf, "seed_targets"), ["source", "problem_type"], size)
+
+
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _seed_sample(spark, sf)[1].where("short > 0").select("source", "problem_type")
+
+
+def p1_sample(spark: SparkSession, sf: str) -> DataFrame:
+    return _seed_sample(spark, sf)[0].withColumnRenamed("id", "parent_seed_id")
+
+
+def p1_report(spark: SparkSession, sf: str) -> DataFrame:
+    return _seed_sample(spark, sf)[1]
+
+
 # Problem 2
 
 
@@ -59,6 +80,29 @@ def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
     return pivots.groups(pairs, members).select(F.col("key").alias("sample_id"), "group_id", "copies", "links")
 
 
+# Problem 4
+
+#: Share of new parents taken in each month of generation, and of those without a time.
+EPOCH_RATES, OTHER_RATE = {"2026-01": 0.5, "2026-02": 0.4, "2026-03": 0.3}, 0.2
+
+
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    seen = table(spark, sf, "rlvr").select(
+        F.col("extra_info.parent_seed_id").alias("id"), F.col("extra_info.synthetic_ratio").alias("rate"),
+        F.when(F.col("extra_info.origin") == "synthetic", True).when(F.col("extra_info.origin") == "real", False).alias("selected"),
+    )
+    return epochs.broken_nesting(seen).select(F.col("id").alias("parent_seed_id"))
+
+
+def p4_selection(spark: SparkSession, sf: str) -> DataFrame:
+    parents = table(spark, sf, "gpt_pairs").select(F.trim("parent_seed_id").alias("id"), F.substring("generated_at", 1, 7).alias("epoch"))
+    rate = F.lit(OTHER_RATE)
+    for month, share in EPOCH_RATES.items():
+        rate = F.when(F.col("epoch") == month, share).otherwise(rate)
+    empty = parents.limit(0).withColumn("rate", F.lit(0.0))
+    return epochs.select(epochs.register(empty, parents, rate)).where("selected").select(F.col("id").alias("parent_seed_id"), "epoch", "rate")
+
+
 # Problem 6
 
 
@@ -93,6 +137,25 @@ def p7_aligned(spark: SparkSession, sf: str) -> DataFrame:
     return _leaks(spark, sf)
 
 
+# Problem 8
+
+
+def _mix(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return mixing.mix_sources(table(spark, sf, "documents"), table(spark, sf, "mix_targets"))
+
+
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf)[1].where("short").select("source")
+
+
+def p8_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf)[0]
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    return _mix(spark, sf)[1]
+
+
 # Problem 9
 
 
@@ -104,6 +167,10 @@ def p9_shared(spark: SparkSession, sf: str) -> DataFrame:
     return spans.shared_spans(table(spark, sf, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_report, p3_found, p3_groups, p6_found, p6_shares, p7_found, p7_aligned, p9_found, p9_shared)}
+_ALL = [
+    p1_found, p1_sample, p1_report, p2_found, p2_report, p3_found, p3_groups, p4_found, p4_selection,
+    p6_found, p6_shares, p7_found, p7_aligned, p8_found, p8_mix, p8_report, p9_found, p9_shared,
+]
+QUERIES = {f.__name__: f for f in _ALL}
 
 SQL: dict[str, str] = {}
