@@ -177,8 +177,9 @@ def is_cut_solution(solution: str, answer: str) -> bool:
     bare = s.rstrip(_CLOSERS)
     if bare and bare[-1] in _TERMINAL or s[-1] in _TERMINAL:
         return False
-    a = _squeezed(answer)
-    return not (a and _squeezed(s).rstrip("})").endswith(a.rstrip("})")))
+    a, end = _squeezed(answer).rstrip("})"), _squeezed(s).rstrip("})")
+    before = end[-len(a) - 1 : -len(a)] if a else ""
+    return not (a and end.endswith(a) and not (before.isdigit() and a[0].isdigit()))
 
 
 def defect(problem: str | None, solution: str | None, answer: str | None) -> str | None:
@@ -196,3 +197,30 @@ def defect(problem: str | None, solution: str | None, answer: str | None) -> str
     if is_cut_answer(answer) or is_cut_solution(solution, answer):
         return "truncated"
     return None
+
+
+def broken_pairs(pairs: DataFrame) -> DataFrame:
+    """``key, defect`` of each pair with a defect; rows without one are left out.
+
+    ``pairs`` has ``key``, ``problem``, ``solution`` and ``answer``; other columns are ignored. Defects:
+
+    - ``refusal``: a declining template aligns with the solution anywhere, or the answer declines;
+    - ``empty``: solution or answer is null, blank, or only placeholders and headings;
+    - ``copy``: at least 0.75 of the solution's three-word runs stand in the problem, or at least 0.5 of
+      them while 0.7 of its words form a common subsequence with the problem;
+    - ``language``: most of the solution is in another language than the problem;
+    - ``truncated``: solution or answer breaks off.
+
+    A pair has the first that applies. A null problem can have all but ``copy`` and ``language``. Repeated
+    rows count once; null keys are left out; an empty table gives an empty result. Whole texts are read:
+    the cost of a pair is linear in its length but for copies, which align word by word.
+    """
+
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, problems, solutions, answers = (b.column(i).to_pylist() for i in range(4))
+            found = [(k, d) for k, p, s, a in zip(keys, problems, solutions, answers) if (d := defect(p, s, a))]
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([d for _, d in found], pa.string())], names=["key", "defect"])
+
+    rows = pairs.select(F.col("key").cast("string").alias("key"), "problem", "solution", "answer").where("key is not null")
+    return rows.mapInArrow(find, "key string, defect string").distinct()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import epochs, leakage, mixing, overlap, pivots, proportions, repetition, spans
+from . import epochs, leakage, mixing, overlap, pairs, pivots, proportions, repetition, spans
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,10 +42,10 @@ def p1_report(spark: SparkSession, sf: str) -> DataFrame:
 
 def _split_records(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Records ``key, is_train, text`` of problem 2, and ``key, split, source`` of the evaluation ones."""
-    seeds, pairs = table(spark, sf, "numina_5k_seeds"), table(spark, sf, "gpt_pairs")
+    seeds, generated = table(spark, sf, "numina_5k_seeds"), table(spark, sf, "gpt_pairs")
     parents = seeds.groupBy(F.trim("parent_seed_id").alias("parent")).agg(F.min(tidy("split")).alias("split"), F.min(tidy("source")).alias("source")).where("split != ''")
     seed_rows = seeds.select(F.col("parent_seed_id").alias("key"), F.trim("parent_seed_id").alias("parent"), F.col("real_problem").alias("text"))
-    pair_rows = pairs.select(F.col("sample_id").alias("key"), F.trim("parent_seed_id").alias("parent"), F.col("synthetic_problem").alias("text"))
+    pair_rows = generated.select(F.col("sample_id").alias("key"), F.trim("parent_seed_id").alias("parent"), F.col("synthetic_problem").alias("text"))
     both = seed_rows.unionByName(pair_rows)
     records = both.join(parents, "parent").select("key", (F.col("split") == "train").alias("is_train"), "text")
     info = both.select("key", "parent").distinct().join(parents.where("split != 'train'"), "parent").groupBy("key").agg(F.min("split").alias("split"), F.min("source").alias("source"))
@@ -53,14 +53,14 @@ def _split_records(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:
-    pairs, members = overlap.cross_split_overlaps(_split_records(spark, sf)[0], threshold=0.6)
-    return overlap.record_pairs(pairs, members).select("key_a", "key_b")
+    linked, members = overlap.cross_split_overlaps(_split_records(spark, sf)[0], threshold=0.6)
+    return overlap.record_pairs(linked, members).select("key_a", "key_b")
 
 
 def p2_report(spark: SparkSession, sf: str) -> DataFrame:
     records, info = _split_records(spark, sf)
-    pairs, members = overlap.cross_split_overlaps(records, threshold=0.8)
-    return overlap.overlap_report(pairs, members, info)
+    linked, members = overlap.cross_split_overlaps(records, threshold=0.8)
+    return overlap.overlap_report(linked, members, info)
 
 
 # Problem 3
@@ -71,13 +71,13 @@ def _quality_problems(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    pairs, members = pivots.near_duplicate_classes(_quality_problems(spark, sf), threshold=0.6)
-    return pivots.record_pairs(pairs, members).select(F.col("a").alias("sample_a"), F.col("b").alias("sample_b"))
+    linked, members = pivots.near_duplicate_classes(_quality_problems(spark, sf), threshold=0.6)
+    return pivots.record_pairs(linked, members).select(F.col("a").alias("sample_a"), F.col("b").alias("sample_b"))
 
 
 def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
-    pairs, members = pivots.near_duplicate_classes(_quality_problems(spark, sf), threshold=0.8)
-    return pivots.groups(pairs, members).select(F.col("key").alias("sample_id"), "group_id", "copies", "links")
+    linked, members = pivots.near_duplicate_classes(_quality_problems(spark, sf), threshold=0.8)
+    return pivots.groups(linked, members).select(F.col("key").alias("sample_id"), "group_id", "copies", "links")
 
 
 # Problem 4
@@ -103,13 +103,23 @@ def p4_selection(spark: SparkSession, sf: str) -> DataFrame:
     return epochs.select(epochs.register(empty, parents, rate)).where("selected").select(F.col("id").alias("parent_seed_id"), "epoch", "rate")
 
 
+# Problem 5
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    rows = table(spark, sf, "gpt_pairs").select(
+        F.col("sample_id").alias("key"), F.col("synthetic_problem").alias("problem"), F.col("synthetic_solution").alias("solution"), F.col("synthetic_answer").alias("answer")
+    )
+    return pairs.broken_pairs(rows).withColumnRenamed("key", "sample_id")
+
+
 # Problem 6
 
 
 def _repetition_texts(spark: SparkSession, sf: str) -> DataFrame:
-    pairs = table(spark, sf, "gpt_pairs").select(F.col("sample_id").alias("key"), F.lit("synthetic_solution").alias("field_name"), F.col("synthetic_solution").alias("text"))
+    made = table(spark, sf, "gpt_pairs").select(F.col("sample_id").alias("key"), F.lit("synthetic_solution").alias("field_name"), F.col("synthetic_solution").alias("text"))
     solved = table(spark, sf, "gpt_pairs_solved").select(F.col("sample_id").alias("key"), F.lit("raw_response").alias("field_name"), F.col("raw_response").alias("text"))
-    return pairs.unionByName(solved)
+    return made.unionByName(solved)
 
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
@@ -168,7 +178,7 @@ def p9_shared(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ALL = [
-    p1_found, p1_sample, p1_report, p2_found, p2_report, p3_found, p3_groups, p4_found, p4_selection,
+    p1_found, p1_sample, p1_report, p2_found, p2_report, p3_found, p3_groups, p4_found, p4_selection, p5_found,
     p6_found, p6_shares, p7_found, p7_aligned, p8_found, p8_mix, p8_report, p9_found, p9_shared,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
