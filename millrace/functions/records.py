@@ -53,7 +53,7 @@ def rlvr_record(synthetic: Column, arm: Column, ratio: Column) -> list[Column]:
     )
     return [
         F.lit(VIEW_NAME).alias("data_source"), F.array(message("user", pick("problem"))).alias("prompt"), F.lit("math").alias("ability"),
-        F.struct(F.lit(VIEW_STYLE).alias("style"), pick("answer").alias("ground_truth")).alias("reward_model"), info.alias("extra_info"),
+        F.struct(F.lit(VIEW_STYLE).alias("style"), F.coalesce(pick("answer"), F.lit("None")).alias("ground_truth")).alias("reward_model"), info.alias("extra_info"),
     ]
 
 
@@ -73,7 +73,7 @@ def audited_records() -> dict[str, list[Column]]:
     sft = [F.col("sample_id"), F.col("experimental_group").alias("group"), F.array(message("user", F.col("problem")), message("assistant", F.col("reference_solution"))).alias("messages")]
     rlvr = [
         F.lit(AUDITED_NAME).alias("data_source"), F.array(message("user", F.col("problem"))).alias("prompt"), F.lit("math").alias("ability"),
-        F.struct(F.lit(AUDITED_STYLE).alias("style"), F.col("reference_answer").alias("ground_truth")).alias("reward_model"),
+        F.struct(F.lit(AUDITED_STYLE).alias("style"), F.coalesce(F.col("reference_answer"), F.lit("None")).alias("ground_truth")).alias("reward_model"),
         F.struct("sample_id", F.col("experimental_group").alias("group"), F.col("human_audit.question_valid").alias("question_valid"), "pseudo_answer_p_hat").alias("extra_info"),
     ]
     return {"sft": sft, "rlvr": rlvr}
