@@ -15,7 +15,11 @@ def usage(df: DataFrame, column: str) -> DataFrame:
 
 def nested_usage(df: DataFrame, rollouts: str, column: str = "token_usage") -> DataFrame:
     """The same over an array of structs: summed within the row, so nothing is exploded."""
-    each = [F.aggregate(F.coalesce(rollouts, F.array()), F.lit(0).cast("bigint"), lambda s, r, f=f: s + F.coalesce(r[column][f], F.lit(0))).alias(f) for f in TOKEN_FIELDS]
+    def total(field: str) -> Column:
+        add = lambda s, r: s + F.coalesce(r[column][field], F.lit(0))
+        return F.aggregate(F.coalesce(rollouts, F.array()), F.lit(0).cast("bigint"), add).alias(field)
+
+    each = [total(f) for f in TOKEN_FIELDS]
     return df.select(*each).agg(*(F.coalesce(F.sum(f), F.lit(0)).alias(f) for f in TOKEN_FIELDS))
 
 

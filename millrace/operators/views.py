@@ -27,8 +27,8 @@ def rlvr_views(rows: DataFrame, seed: int, ratios: list[float] = RATIOS) -> Data
 
     One pass: positions are computed once and each row is exploded over the few arms.
     """
-    arms = F.array(*(F.struct(F.lit(float(r)).alias("ratio")) for r in [*ratios, -1.0]))
-    each = nested_positions(rows, "parent_seed_id", ["source", "problem_type"], seed).withColumn("_ratio", F.explode(arms)["ratio"])
+    arms = F.array(*(F.lit(float(r)) for r in [*ratios, -1.0]))
+    each = nested_positions(rows, "parent_seed_id", ["source", "problem_type"], seed).withColumn("_ratio", F.explode(arms))
     fallback = F.col("_ratio") < 0
     synthetic = F.when(fallback, F.coalesce("quality_accept", F.lit(False))).otherwise(in_ratio(F.col("_ratio")))
     each = each.withColumns({"_synthetic": synthetic, "_arm": F.when(fallback, "fallback").otherwise(arm_name("_ratio"))})
