@@ -10,8 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ranks import hash_bucket, permuted, ranked
-from .shared import stage
+from ..operators.ranks import hash_bucket, permuted, ranked
+from ..operators.staging import stage
 
 #: How a rank file's vocabulary splits text before its merges: the fixed pattern of that public vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""

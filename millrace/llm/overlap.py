@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .near import frequency_sketch, may_match, prefix_postings, shingled, verified
-from .shared import stage
+from ..operators.staging import stage
 
 
 def cross_split_overlaps(records: DataFrame, threshold: float = 0.8, run: int = 5, sketch_bits: int = 20) -> tuple[DataFrame, DataFrame]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .near import frequency_sketch, may_match, prefix_postings, shingled, verified
-from .shared import stage
+from ..operators.staging import stage
 from .words import U, unsigned
 
 #: A fingerprint has one bit for each of so many ranges of run hashes; the base pivots cut it into equal regions.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ranks import hash_bucket, permuted, ranked
+from ..operators.ranks import hash_bucket, permuted, ranked
 
 
 def allocate(leaves: DataFrame, levels: list[str]) -> DataFrame:

@@ -183,4 +183,3 @@ _ALL = [
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 
-SQL: dict[str, str] = {}

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stage
+from ..operators.staging import stage
 from .words import U, chunks, code_points, mix, powers, prefix_hashes, signed
 
 _EMPTY = np.zeros(0, np.int64)
