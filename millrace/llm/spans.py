@@ -117,7 +117,7 @@ def _count_bucket(table: pa.Table, span: int) -> pa.Table:
     return pa.table({"rep": pa.array(owner, pa.int64()), "lo": pa.array(first, pa.int64()), "hi": pa.array(last + span, pa.int64())})
 
 
-def shared_spans(documents: DataFrame, span: int = 200, seed: int = 24, hot: int = 20_000, bucket_rows: int = 20_000) -> DataFrame:
+def shared_spans(documents: DataFrame, span: int = 200, seed: int = 64, hot: int = 20_000, bucket_rows: int = 20_000) -> DataFrame:
     """``doc_id, n_chars, shared_chars, longest`` of each document: characters that lie in a span of at least
     ``span`` characters which occurs, character for character, in another document too.
 
