@@ -18,8 +18,19 @@ def cap_by_group(df: DataFrame, group: list[str], key: str, limit: int, seed: in
 
 
 def take(df: DataFrame, key: str, limit: int, seed: int) -> DataFrame:
-    """A sample of ``limit`` rows, the same on every run; a bounded heap in each task, no full sort."""
-    return df.orderBy(rank_key(seed, key), key).limit(limit)
+    """A sample of ``limit`` rows, those with the lowest keyed hash of ``key``: the same on every run.
+
+    The rows are counted first, so that only those with a hash low enough to matter (about twice
+    ``limit``) are sorted, however many tasks there are.
+    """
+    order = rank_key(seed, key)
+    rows = df.count()
+    if rows > 4 * limit:
+        cut = f"{2 * limit * 16**12 // rows:012x}"
+        low = df.where(order < cut)
+        if low.count() >= limit:
+            df = low
+    return df.orderBy(order, key).limit(limit)
 
 
 def quotas_with_transfer(available: DataFrame, quotas: dict[str, int], from_source: str, to_source: str) -> DataFrame:
