@@ -145,8 +145,12 @@ def fit_forest(texts: DataFrame, share: float, least_words: int, run: int, trees
     labelled; the certain path is the longest that any row with that share can have in these trees,
     so a row above it cannot reach the share.
     """
-    rank = F.xxhash64(F.lit(seed), "key", "field_name", "text")
-    rows = [r["text"] for r in texts.where("text is not null").orderBy(rank).limit(labelled_rows).select("text").collect()]
+    texts = texts.where("text is not null")
+    rank = F.xxhash64(F.lit(seed), "key", "field_name")
+    total = texts.count()
+    low = texts.where(rank < F.lit(int(2 * labelled_rows / max(1, total) * 2**64) - 2**63)) if total > 4 * labelled_rows else texts
+    # about twice the bound is left, repeated rows once; then the lowest are taken
+    rows = [r["text"] for r in low.select(rank.alias("rank"), "text").distinct().orderBy("rank", "text").limit(labelled_rows).select("text").collect()]
     parts = [statistics(part, run) for _, part in chunks(rows)]
     counts = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0)
     x = np.concatenate([p[1] for p in parts]) if parts else np.zeros((0, len(FEATURES)))
