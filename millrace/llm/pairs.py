@@ -14,6 +14,9 @@ _FORMULA = re.compile(r"\$[^$\n]{1,80}\$|\\[A-Za-z]+|\\[()\[\]]")
 _TERMINAL = ".。!?！？"
 _CLOSERS = "\"'”’»)]}*$` \t\n\r）】」"
 
+#: Closing words that may follow the answer.
+_CLOSING = re.compile(r"[\s,(]*(?:works|as (?:wanted|required|desired|claimed)|checked by substitution|is the answer|q\.?e\.?d)[)\s]*$", re.I)
+
 #: Words of placeholders and headings that say nothing by themselves.
 EMPTY_WORDS = frozenset(
     """null none nil nan na tbd tba todo pending missing empty placeholder boxed text answer answers solution solutions final proof response result
@@ -177,7 +180,7 @@ def is_cut_solution(solution: str, answer: str) -> bool:
     bare = s.rstrip(_CLOSERS)
     if bare and bare[-1] in _TERMINAL or s[-1] in _TERMINAL:
         return False
-    a, end = _squeezed(answer).rstrip("})"), _squeezed(s).rstrip("})")
+    a, end = _squeezed(answer).rstrip("})"), _squeezed(_CLOSING.sub("", s)).rstrip("})")
     before = end[-len(a) - 1 : -len(a)] if a else ""
     return not (a and end.endswith(a) and not (before.isdigit() and a[0].isdigit()))
 
