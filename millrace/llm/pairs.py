@@ -138,7 +138,10 @@ def containment(part: list[str], whole: list[str], n: int = 3) -> float:
 
 
 def copy_scores(problem: str, solution: str) -> tuple[float, float]:
-    """(containment of the solution's word runs in the problem, share of its words in a common subsequence with it)."""
+    """(containment of the solution's word runs in the problem, share of its words in a common subsequence with it).
+
+    The second is had only where the first does not decide alone (from 0.5 to 0.75), else it is 0.
+    """
     p, s = words(problem), words(solution)
     if len(s) < 6:
         return 0.0, 0.0
@@ -146,7 +149,7 @@ def copy_scores(problem: str, solution: str) -> tuple[float, float]:
     if sum(w in held for w in s) < 0.4 * len(s):
         return 0.0, 0.0
     inside = containment(s, p)
-    return inside, common_subsequence(s, p) / len(s) if inside >= 0.3 else 0.0
+    return inside, common_subsequence(s, p) / len(s) if 0.5 <= inside < 0.75 else 0.0
 
 
 def is_balanced(text: str) -> bool:
@@ -180,7 +183,7 @@ def is_cut_solution(solution: str, answer: str) -> bool:
     bare = s.rstrip(_CLOSERS)
     if bare and bare[-1] in _TERMINAL or s[-1] in _TERMINAL:
         return False
-    a, end = _squeezed(answer).rstrip("})"), _squeezed(_CLOSING.sub("", s)).rstrip("})")
+    a, end = _squeezed(answer).rstrip("})"), _squeezed(s[:-40] + _CLOSING.sub("", s[-40:])).rstrip("})")
     before = end[-len(a) - 1 : -len(a)] if a else ""
     return not (a and end.endswith(a) and not (before.isdigit() and a[0].isdigit()))
 
