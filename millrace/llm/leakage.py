@@ -1,8 +1,7 @@
-"""Problem 7: evaluation texts inside training texts, by rare word-run seeds and Smith-Waterman alignment."""
+"""Problem 7: evaluation texts inside training texts, by word-run seeds and Smith-Waterman alignment."""
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -18,7 +17,7 @@ _BITS = 20
 
 @dataclass
 class Items:
-    """Evaluation items of one block: their word hashes and, once chosen, the seeds that lead to them."""
+    """Evaluation items of one block: their word hashes and the seeds that lead to them."""
 
     ids: list[str]
     words: list[np.ndarray]
@@ -28,14 +27,6 @@ class Items:
     seed_size: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
 
 
-def _item_runs(items: Items, size: int) -> dict[int, list[np.ndarray]]:
-    """By run size the hashes of the runs of each item: ``size`` words, or all of a shorter item's."""
-    out: dict[int, list[np.ndarray]] = {}
-    for n in {min(size, len(w)) for w in items.words}:
-        out[n] = [_runs(w, n) if min(size, len(w)) == n else np.zeros(0, U) for w in items.words]
-    return out
-
-
 def _runs(w: np.ndarray, n: int) -> np.ndarray:
     """Hashes of all runs of ``n`` words, as :meth:`Words.runs` has them for full runs."""
     x = Words.__new__(Words)
@@ -59,57 +50,29 @@ def _hits(w: Words, n: int, seeds: np.ndarray, sieve: np.ndarray) -> tuple[np.nd
     return text[near[ok]], pos[near[ok]], at[ok]
 
 
-def seed_frequencies(documents: DataFrame, text: str, runs: dict[int, np.ndarray]) -> dict[tuple[int, int], int]:
-    """By (run size, hash) the number of documents with that run of an evaluation item, over all documents.
+def all_seeds(items: Items, size: int) -> Items:
+    """Every run of ``size`` words of every item, or all of a shorter item's: a choice among them would lose edited copies."""
+    sizes = [min(size, len(w)) for w in items.words]
+    hashes = [_runs(w, n) for w, n in zip(items.words, sizes)]
+    h = np.concatenate([np.zeros(0, U), *hashes])
+    item = np.repeat(np.arange(len(hashes)), [len(x) for x in hashes]) if hashes else np.zeros(0, np.int64)
+    pos = np.concatenate([np.zeros(0, np.int64), *(np.arange(len(x)) for x in hashes)])
+    order = np.argsort(h, kind="stable")
+    return Items(items.ids, items.words, h[order], item[order].astype(np.int32), pos[order].astype(np.int32), np.array(sizes, np.int32)[item[order]])
 
-    The result is bounded by the runs of the block's items, not by the documents.
-    """
-    shared = documents.sparkSession.sparkContext.broadcast({n: (x, _sieve(x)) for n, x in runs.items()})
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = {n: np.zeros(len(x), np.int64) for n, (x, _) in shared.value.items()}
-        for b in batches:
-            for _, part in chunks(b.column(0).to_pylist()):
-                w = Words(part)
-                for n, (x, sieve) in shared.value.items():
-                    of, _, at = _hits(w, n, x, sieve)
-                    totals[n] += np.bincount(np.unique(of.astype(np.int64) * len(x) + at) % max(1, len(x)), minlength=len(x))
-        for n, total in totals.items():
-            some = np.flatnonzero(total)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(len(some), n, np.int32)), pa.array(signed(shared.value[n][0][some])), pa.array(total[some])], names=["size", "hash", "docs"]
-            )
-
-    rows = documents.select(text).mapInArrow(count, "size int, hash bigint, docs bigint").groupBy("size", "hash").agg(F.sum("docs").alias("docs")).collect()
-    return {(r["size"], r["hash"] % (1 << 64)): r["docs"] for r in rows}
-
-
-def choose_seeds(items: Items, size: int, window: int, docs: dict[tuple[int, int], int]) -> Items:
-    """For every window of ``window`` words of every item the rarest run in it; each window keeps one, so none is lost."""
-    chosen: set[tuple[int, int, int, int]] = set()
-    for i, w in enumerate(items.words):
-        n = min(size, len(w))
-        h = _runs(w, n)
-        freq = np.array([docs.get((n, int(x)), 0) for x in h])
-        span = min(window, len(w)) - n + 1
-        for at in range(len(h) - span + 1):
-            best = at + int(np.argmin(freq[at : at + span]))
-            chosen.add((int(h[best]), i, best, n))
-    rows = sorted(chosen)
-    return Items(
-        items.ids, items.words, np.array([r[0] for r in rows], U), np.array([r[1] for r in rows], np.int32), np.array([r[2] for r in rows], np.int32), np.array([r[3] for r in rows], np.int32)
-    )
-
-
-def longest_common_run(a: np.ndarray, b: np.ndarray, ai: int, bi: int) -> int:
-    """Words in the maximal equal run around ``a[ai] == b[bi]``."""
-    back = 0
-    while ai - back > 0 and bi - back > 0 and a[ai - back - 1] == b[bi - back - 1]:
-        back += 1
-    on = 0
-    while ai + on < len(a) and bi + on < len(b) and a[ai + on] == b[bi + on]:
-        on += 1
-    return back + on
+def longest_runs(text: np.ndarray, item: np.ndarray, diagonal: np.ndarray, pos: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, item, words of the longest equal run) of each pair, from all its places with ``n`` equal words."""
+    order = np.lexsort((pos, diagonal, item, text))
+    text, item, diagonal, pos = text[order], item[order], diagonal[order], pos[order]
+    pair = np.ones(len(text), bool)
+    pair[1:] = (text[1:] != text[:-1]) | (item[1:] != item[:-1])
+    stretch = pair.copy()
+    stretch[1:] |= (diagonal[1:] != diagonal[:-1]) | (pos[1:] != pos[:-1] + 1)
+    first = np.flatnonzero(stretch)
+    of = np.flatnonzero(pair[first])
+    runs = np.maximum.reduceat(np.diff(first, append=len(text)), of) + n - 1 if len(of) else of
+    return text[first[of]], item[first[of]], runs
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, miss: int = -1, gap: int = -1) -> int:
@@ -125,20 +88,33 @@ def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, miss: int = -1,
     return best
 
 
+def best_alignment(doc: np.ndarray, q: np.ndarray, least: float = 0) -> int:
+    """Best score of a local alignment of an item with a whole document, or 0 if it is certainly below ``least``.
+
+    Each word of the item adds 2 at most, and only if the document has it. A stretch of ``2 * len(q)``
+    words that the item lacks costs all that the other side can add, so the sides are aligned apart.
+    """
+    if 2 * np.count_nonzero(np.isin(q, doc)) < least:
+        return 0
+    met = np.flatnonzero(np.isin(doc, q))
+    if not len(met):
+        return 0
+    cuts = np.flatnonzero(np.diff(met) > 2 * len(q))
+    return max(smith_waterman(q, doc[lo : hi + 1]) for lo, hi in zip(met[np.concatenate(([0], cuts + 1))], met[np.concatenate((cuts, [-1]))]))
+
+
 def leaked_items(
     documents: DataFrame, items: DataFrame, seed_words: int = 5, window: int = 12, least_score: float = 0.5, block_items: int = 20_000
 ) -> DataFrame:
     """``doc_id, eval_id, run, words, score``: documents with passages of evaluation items.
 
     ``documents`` has ``doc_id`` and ``text``, ``items`` has ``eval_id`` and ``question``; other
-    columns are ignored. Seeds are runs of ``seed_words`` words of the items (all words of a shorter
-    item); for each window of ``window`` words of an item the seed in the fewest documents is kept.
-    Each document word run that is a seed is extended to the longest equal run ``run``, and the
-    passage around it, as long as the item on either side, is aligned with the item (Smith-Waterman:
-    2 for equal words, -1 for others and gaps). ``score`` is the best alignment over twice the item's
-    ``words``: 1 is a whole copy, less an edited or partial one. Rows are those with ``run`` of at
-    least ``min(window, words)``, all of which are found, and those with ``score >= least_score``
-    that share a seed.
+    columns are ignored. Seeds are all runs of ``seed_words`` words of the items (all words of a
+    shorter item). ``run`` is the longest equal run of a document and an item that share a seed, and
+    the document is aligned with the item (Smith-Waterman: 2 for equal words, -1 for others and
+    gaps). ``score`` is the best alignment over twice the item's ``words``: 1 is a whole copy, less
+    an edited or partial one. Rows are all pairs with ``run`` of at least ``min(window, words)``, and
+    all that share a seed with ``score >= least_score``.
 
     The items are taken in blocks of ``block_items`` (their word hashes are what is broadcast), so
     the broadcast is bounded however many there are. Items or documents with a null id, or that are
@@ -164,9 +140,8 @@ def _block(documents: DataFrame, part: DataFrame, seed_words: int, window: int,
             if w.at[j + 1] > w.at[j]:
                 items.ids.append(rows[first + j][0])
                 items.words.append(w.hash[w.at[j] : w.at[j + 1]])
-    runs = {n: np.unique(np.concatenate(h)) for n, h in _item_runs(items, seed_words).items()}
     documents = documents.select("doc_id", "text").where("doc_id is not null and text is not null")
-    items = choose_seeds(items, seed_words, window, seed_frequencies(documents, "text", runs) if runs else {})
+    items = all_seeds(items, seed_words)
     shared = documents.sparkSession.sparkContext.broadcast(items)  # bounded by block_items
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,24 +154,20 @@ def _block(documents: DataFrame, part: DataFrame, seed_words: int, window: int,
         for b in batches:
             for first, texts in chunks(b.column(1).to_pylist()):
                 w = Words(texts)
-                seen: dict[tuple[int, int], set[tuple[int, int]]] = defaultdict(set)
-                for n, (own, h, sieve, low, high) in by_size.items():
-                    for text, pos, at in zip(*_hits(w, n, h, sieve)):
-                        for s in own[low[at] : high[at]]:
-                            seen[int(text), int(it.seed_item[s])].add((int(pos - w.at[text]), int(it.seed_pos[s])))
                 found = []
-                for (text, item), places in seen.items():
-                    doc, q = w.hash[w.at[text] : w.at[text + 1]], it.words[item]
-                    diagonals = {d - p: (d, p) for d, p in places}
-                    run = max(longest_common_run(doc, q, d, p) for d, p in places)
-                    passages = sorted((max(0, s - len(q) // 2), s + len(q) + len(q) // 2) for s in diagonals)
-                    merged = [passages[0]]
-                    for lo, hi in passages[1:]:
-                        merged[-1:] = [(merged[-1][0], max(hi, merged[-1][1]))] if lo <= merged[-1][1] else [merged[-1], (lo, hi)]
-                    best = 2 * len(q) if run == len(q) else max(smith_waterman(doc[lo : max(hi, 0)], q) for lo, hi in merged)
-                    score = best / (2 * len(q))
-                    if run >= min(window, len(q)) or score >= least_score:
-                        found.append((first + text, item, run, len(q), score))
+                for n, (own, h, sieve, low, high) in by_size.items():
+                    text, pos, at = _hits(w, n, h, sieve)
+                    count = high[at] - low[at]
+                    hit = np.repeat(np.arange(len(at)), count)
+                    s = own[low[at][hit] + np.arange(len(hit)) - (np.cumsum(count) - count)[hit]]
+                    place = pos[hit] - w.at[text[hit]]
+                    for t, item, run in zip(*(x.tolist() for x in longest_runs(text[hit], it.seed_item[s], place - it.seed_pos[s], place, n))):
+                        doc, q = w.hash[w.at[t] : w.at[t + 1]], it.words[item]
+                        copied = run >= min(window, len(q))
+                        best = 2 * len(q) if run == len(q) else best_alignment(doc, q, 0 if copied else 2 * least_score * len(q))
+                        score = best / (2 * len(q))
+                        if copied or score >= least_score:
+                            found.append((first + t, item, run, len(q), score))
                 ids = b.column(0).take(pa.array([f[0] for f in found], pa.int64()))
                 yield pa.RecordBatch.from_arrays(
                     [ids, pa.array([it.ids[f[1]] for f in found], pa.string()), pa.array([f[2] for f in found], pa.int32()), pa.array([f[3] for f in found], pa.int32()), pa.array([f[4] for f in found], pa.float64())],

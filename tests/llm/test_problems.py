@@ -240,6 +240,53 @@ def test_leakage(spark, block):
     assert leakage.leaked_items(df.limit(0), items).count() == 0 and leakage.leaked_items(df, items.limit(0)).count() == 0
 
 
+def aligned(a, b):
+    """Best local alignment cell by cell: 2 for equal words, -1 for others and gaps."""
+    last, best = [0] * (len(b) + 1), 0
+    for x in a:
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(max(0, last[j] + (2 if x == y else -1), last[j + 1] - 1, row[j] - 1))
+        best, last = max(best, *row), row
+    return best
+
+
+def common_run(a, b):
+    return max((n for n in range(1, min(len(a), len(b)) + 1) if {tuple(a[i : i + n]) for i in range(len(a) - n + 1)} & {tuple(b[i : i + n]) for i in range(len(b) - n + 1)}), default=0)
+
+
+def test_edited_copies_are_found(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(300)}"
+    questions = [(f"q{i}", [word() for _ in range(n)]) for i, n in enumerate([24, 24, 24, 40, 11, 8, 3, 60])]
+    questions.append(("qr", ["so"] * 9))
+    docs = []
+    for i in range(90):
+        q = list(questions[i % 9][1])
+        for _ in range(i // 9 % 5):  # replaced, left out, put in
+            at = rng.randrange(len(q))
+            q[at : at + rng.randrange(2)] = [word() for _ in range(rng.randrange(3))]
+            q = q or [word()]
+        docs.append((i, [word() for _ in range(rng.randrange(60))] + q + [word() for _ in range(rng.randrange(60))]))
+    q = questions[0][1]
+    docs.append((200, q[:8] + ["x"] + q[9:17] + ["y"] + q[18:]))  # two words replaced, no 12 in a row
+    docs += [(300 + k, q[k : k + 5] + ["z"]) for k in range(20)]  # every run stands elsewhere, too
+    docs.append((400, q[:5] + ["z"] * 200 + [w if k % 4 else "y" for k, w in enumerate(q)]))  # the best alignment is far from the only seed
+    docs.append((401, q[:12] + ["z"] * 14 + q[12:]))
+    docs.append((402, ["so", "far"] * 10 + ["so"] * 6))
+    got = {tuple(r) for r in leakage.leaked_items(spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id bigint, text string"), spark.createDataFrame([(e, " ".join(q)) for e, q in questions], "eval_id string, question string")).collect()}
+    want = set()
+    for d, t in docs:
+        for e, q in questions:
+            run = common_run(t, q)
+            if run >= min(5, len(q)):
+                score = aligned(t, q) / (2 * len(q))
+                if run >= min(12, len(q)) or score >= 0.5:
+                    want.add((d, e, run, len(q), score))
+    assert got == want
+    assert (200, "q0") in {r[:2] for r in got} and sum(r[2] < min(12, r[3]) for r in got) > 10
+
+
 def test_smith_waterman():
     a = np.array([1, 2, 3, 4, 5, 6])
     assert leakage.smith_waterman(a, a) == 12
