@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.staging import shared_dir
+
 _BITS = 52
 
 
@@ -31,9 +33,28 @@ def register(state: DataFrame, arrivals: DataFrame, rate: Column | float) -> Dat
     ``state`` has ``id, epoch, rate``, ``arrivals`` has ``id, epoch``. Later arrivals with an earlier epoch
     change nothing for a known id. Null ids are left out; a null rate selects nothing.
     """
-    new = first_seen(arrivals).join(state.select("id"), "id", "left_anti")
+    return state.select("id", "epoch", "rate").unionByName(_new(state, arrivals, rate))
+
+
+def _new(state: DataFrame, arrivals: DataFrame, rate: Column | float) -> DataFrame:
     rate = rate if isinstance(rate, Column) else F.lit(float(rate))
-    return state.select("id", "epoch", "rate").unionByName(new.withColumn("rate", rate.cast("double")))
+    return first_seen(arrivals).join(state.select("id"), "id", "left_anti").withColumn("rate", rate.cast("double"))
+
+
+def register_kept(arrivals: DataFrame, rate: Column | float, name: str) -> DataFrame:
+    """The state ``name`` in the shared folder after ``arrivals``, which are one batch: new ids are appended to it.
+
+    It is a Parquet table ``id, epoch, rate`` that grows with each call and is not deleted with the stages, so it is
+    kept as long as the folder in ``spark.checkpoint.dir``. One call at a time may write a state.
+    """
+    spark = arrivals.sparkSession
+    path = f"{shared_dir(spark)}/state-{name}"
+    schema = f"id {arrivals.schema['id'].dataType.simpleString()}, epoch {arrivals.schema['epoch'].dataType.simpleString()}, rate double"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    known = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+    state = spark.read.schema(schema).parquet(path) if known else spark.createDataFrame([], schema)
+    _new(state, arrivals, rate).write.mode("append").option("compression", "zstd").parquet(path)
+    return spark.read.schema(schema).parquet(path)
 
 
 def select(state: DataFrame, seed: int = 7) -> DataFrame:

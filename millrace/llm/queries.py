@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -95,12 +97,13 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_selection(spark: SparkSession, sf: str) -> DataFrame:
+    """Each run registers what has come to the table since the last; the state is kept for each table's path."""
     parents = table(spark, sf, "gpt_pairs").select(F.trim("parent_seed_id").alias("id"), F.substring("generated_at", 1, 7).alias("epoch"))
     rate = F.lit(OTHER_RATE)
     for month, share in EPOCH_RATES.items():
         rate = F.when(F.col("epoch") == month, share).otherwise(rate)
-    empty = parents.limit(0).withColumn("rate", F.lit(0.0))
-    return epochs.select(epochs.register(empty, parents, rate)).where("selected").select(F.col("id").alias("parent_seed_id"), "epoch", "rate")
+    state = epochs.register_kept(parents, rate, f"p4-{hashlib.sha256(sf.rstrip('/').encode()).hexdigest()[:16]}")
+    return epochs.select(state).where("selected").select(F.col("id").alias("parent_seed_id"), "epoch", "rate")
 
 
 # Problem 5

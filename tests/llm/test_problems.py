@@ -133,6 +133,22 @@ def test_epoch_selection_keeps_members(spark):
     assert not {r.id for r in epochs.select(epochs.register(empty, first, F.lit(None))).where("selected").collect()}
 
 
+def test_late_older_rows_change_no_member(spark, tmp_path):
+    from millrace.llm.queries import p4_selection
+
+    def arrive(rows):
+        spark.createDataFrame(rows, "parent_seed_id string, generated_at string").write.mode("append").parquet(f"{tmp_path}/gpt_pairs.parquet")
+        rows = p4_selection(spark, str(tmp_path)).collect()
+        assert len(rows) == len({r.parent_seed_id for r in rows})
+        return {r.parent_seed_id: (r.epoch, r.rate) for r in rows}
+
+    one = arrive([(f"p{i}", f"2026-0{1 + i % 3}-05") for i in range(200)] + [(None, "2026-01-01")])
+    assert one and arrive([("p0", "2026-03-01")]) == one
+    two = arrive([(f" p{i}", "2025-12-30") for i in range(300)])  # known ones late, and new ones
+    assert one == {k: v for k, v in two.items() if int(k[1:]) < 200}
+    assert {v for k, v in two.items() if int(k[1:]) >= 200} == {("2025-12", 0.2)}
+
+
 def test_broken_nesting(spark):
     nan = float("nan")
     data = [("a", 0.25, True), ("a", 0.5, False), ("b", 0.5, True), ("b", 0.25, False), ("c", 0.5, True), ("c", 0.5, False), ("d", -1.0, True), ("d", 1.0, False), ("e", None, True), ("e", 1.0, False), ("f", 0.1, True), ("f", nan, False), (None, 0.1, True)]
