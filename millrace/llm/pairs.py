@@ -42,7 +42,10 @@ for _language, _listed in STOPWORDS.items():
     for _w in _listed:
         _LANGUAGE_OF.setdefault(_w, []).append(_language)
 
-#: What a refusal is made of: (who or what declines, what is declined). Templates are aligned word by word, with gaps.
+EN_ACTS = "give provide produce supply offer deliver present write share answer solve prove help assist complete respond address discuss comply work proceed continue"
+EN_OBJECTS = "answer answers solution solutions proof question problem request task exercise reply response this that"
+
+#: Wordings of refusals that are searched as they are; see REFUSAL_SLOTS for those that are aligned.
 REFUSAL_TEMPLATES = [
     re.compile(t, re.I)
     for t in (
@@ -60,11 +63,42 @@ REFUSAL_TEMPLATES = [
         r"\bich kann (?:\w+ ){0,4}nicht (?:bearbeiten|beantworten|lösen|helfen|erfüllen)|\bich (?:muss|möchte) (?:\w+ ){0,4}ablehnen",
         r"\bя не (?:могу|буду|стану)|\bне могу (?:помочь|решить|ответить|выполнить)|\bвынужден[а]? отказать",
         r"(?:无法|不能|不便|拒绝)(?:处理|回答|解答|提供|完成|帮助|协助|满足)[^。]{0,12}(?:请求|问题|题目|要求|解答|任务|此题|您|你|本题|。|$)",
+        r"(?:お?答え|回答|解答|手伝い|提供|対応|協力)[^。]{0,8}(?:(?:でき|出来)(?:ません|ない)|かねます|(?:お断り|拒否))|お断り(?:し|いた|致)",
+        r"(?:답변|대답|풀이|해결|도움|도와|제공|응답)[^.。]{0,10}(?:수 없습니다|수 없어요|거절|거부)",
+        r"لا (?:يمكنني|أستطيع|استطيع) (?:الإجابة|الاجابة|حل|المساعدة|مساعدتك|تقديم)|أرفض (?:الإجابة|حل)",
+        r"δεν μπορώ να (?:\w+ ){0,2}(?:απαντήσω|λύσω|βοηθήσω|δώσω)|αρνούμαι να",
+        r"(?:उत्तर|हल|मदद|सहायता|जवाब)[^।.]{0,12}नहीं (?:दे|कर) (?:सकता|सकती|सकते)",
+        r"(?:איני|אינני|לא) (?:יכול|יכולה) (?:לענות|לפתור|לעזור|לספק)|אני מסרבת? (?:לענות|לפתור)",
+        r"ไม่สามารถ(?:ตอบ|แก้|ช่วย|ให้คำตอบ)|ขอปฏิเสธ",
+    )
+]
+
+#: Refusals as words in order: who, that they can't or won't, what they would do, and with what. A word of a slot stands for the
+#: slot. Where nobody need be named there is no first slot. With each, the share of the slots that must align.
+REFUSAL_SLOTS = [
+    (tuple(frozenset(x.split()) for x in slots), least)
+    for least, *slots in (
+        (0.75, "i", "cannot unable wont refuse decline", EN_ACTS, EN_OBJECTS),
+        (1.0, "i", "cannot unable wont refuse decline", "craft create construct derive compute find determine generate formulate show finish say tell explain return output", EN_OBJECTS),
+        (1.0, "we", "cannot unable wont refuse decline", EN_ACTS, EN_OBJECTS),
+        (1.0, "puedo podemos capaz incapaz niego rehúso", "dar ofrecer responder contestar resolver ayudar proporcionar producir presentar escribir", "respuesta solución demostración problema pregunta ejercicio solicitud tarea esto"),
+        (0.75, "je", "peux puis incapable refuse", "donner fournir répondre résoudre aider produire proposer présenter rédiger traiter", "réponse solution démonstration problème question exercice demande tâche cela"),
+        (0.75, "ich", "nicht keine keinen weigere", "geben liefern beantworten lösen helfen angeben erstellen bieten bearbeiten", "antwort lösung beweis aufgabe frage anfrage problem"),
+        (1.0, "ich", "nicht keine keinen", "antwort lösung beweis hilfe", "geben liefern angeben erstellen bieten vorlegen nennen"),
+        (1.0, "posso possiamo grado rifiuto", "dare fornire rispondere risolvere aiutare aiutarti aiutarla produrre offrire presentare", "risposta soluzione dimostrazione problema domanda esercizio richiesta compito questo"),
+        (1.0, "posso podemos consigo capaz incapaz recuso", "dar fornecer responder resolver ajudar ajudá produzir oferecer apresentar", "resposta solução demonstração problema pergunta questão exercício pedido tarefa isso lo"),
+        (1.0, "могу можем буду стану отказываюсь", "дать предоставить ответить решить помочь привести выполнить", "ответ решение доказательство задачу задачей вопрос запрос это"),
     )
 ]
+_NEGATED = frozenset("no non não nao не incapaz niego rehúso rifiuto recuso отказываюсь ne nicht keine keinen weigere incapable refuse cannot unable wont decline".split())
+_UNABLE = [(re.compile(p), to) for p, to in ((r"\bcan't\b|\bcan not\b|\bcould not\b|\bcouldn't\b", "cannot"), (r"\bwon't\b|\bwill not\b", "wont"), (r"\bnot able\b", "unable"))]
+_ARTICLES = frozenset(("a", "an", "the", "any", "our", "my", "your"))  # the next word is no act
+_SENTENCE = re.compile(r"[.!?。！？\n]+")
 
 #: Every template holds one of these, which is quick to see.
-_REFUSAL_SIGNS = ("able to", "can't", "cannot", "can not", "won't", "will not", "rather not", "means to", "decline", "refuse", "pass on", "beyond what", "will be provided", "will be given", "ne peux", "ne puis", "refus", "décliner", "no puedo", "declinar", "rechazar", "niego", "nicht", "не могу", "я не", "вынужден", "ablehnen", "无法", "不能", "不便", "拒绝")
+_REFUSAL_SIGNS = ("able to", "can't", "cannot", "can not", "won't", "will not", "rather not", "means to", "decline", "refuse", "pass on", "beyond what", "will be provided", "will be given", "ne peux", "ne puis", "refus", "décliner", "no puedo", "declinar", "rechazar", "niego", "nicht", "не могу", "я не", "вынужден", "ablehnen", "无法", "不能", "不便", "拒绝",
+    "unable", "could not", "couldn't", "keine", "weigere", "incapable", "non ", "rifiuto", "não ", "recuso", "incapa", "no podemos", "no soy capaz", "rehúso", "не ", "отказываюсь",
+    "できません", "できない", "出来ません", "出来ない", "かねます", "断り", "拒否", "수 없", "거절", "거부", "لا ", "أرفض", "δεν ", "αρνούμαι", "नहीं", "לא ", "איני", "אינני", "מסרב", "ไม่สามารถ", "ปฏิเสธ")
 
 
 def words(text: str) -> list[str]:
@@ -79,10 +113,37 @@ def is_empty(text: str | None) -> bool:
     return all(w in EMPTY_WORDS for w in own)
 
 
+def aligned_share(slots: tuple[frozenset[str], ...], sentence: list[str]) -> float:
+    """Share of the slots in a common subsequence with some stretch of a sentence that is not much longer.
+
+    All slots but the last must align, those up to the one that says can't or won't (the last but two) near each other.
+    """
+    fixed = len(slots) - 2
+    best = 0
+    for k, w in enumerate(sentence):
+        if w not in slots[fixed - 1] or not _NEGATED.intersection(sentence[max(0, k - 3) : k + 1]) or fixed > 1 and not slots[0].intersection(sentence[max(0, k - 4) : k]):
+            continue
+        after = ["act" if x in slots[-2] and before not in _ARTICLES else "object" if x in slots[-1] else "" for before, x in zip(sentence[k : k + 9], sentence[k + 1 : k + 10])]
+        if "act" in after:
+            best = max(best, fixed + common_subsequence(["act", "object"], after))
+    return best / len(slots)
+
+
+def aligns_with_refusal(text: str) -> bool:
+    """Whether a sentence of a lower-cased text aligns with the slots of a refusal."""
+    for pattern, to in _UNABLE:
+        text = pattern.sub(to, text)
+    for sentence in _SENTENCE.split(_prose(text)):
+        own = words(sentence)
+        if not _NEGATED.isdisjoint(own) and any(aligned_share(slots, own) >= least for slots, least in REFUSAL_SLOTS):
+            return True
+    return False
+
+
 def is_refusal(solution: str, answer: str | None) -> bool:
     """A declining template aligns with the solution, or the answer declines."""
     text = solution.replace("’", "'").lower()
-    return any(w in text for w in _REFUSAL_SIGNS) and any(t.search(text) for t in REFUSAL_TEMPLATES) or (answer or "").replace("’", "'").strip().rstrip(".").lower() in REFUSAL_ANSWERS
+    return any(w in text for w in _REFUSAL_SIGNS) and (any(t.search(text) for t in REFUSAL_TEMPLATES) or aligns_with_refusal(text)) or (answer or "").replace("’", "'").strip().rstrip(".").lower() in REFUSAL_ANSWERS
 
 
 def _prose(text: str) -> str:

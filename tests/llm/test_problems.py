@@ -181,6 +181,22 @@ def test_defects(problem, solution, answer, kind):
     assert pairs.defect(problem, solution, answer) == kind
 
 
+REFUSALS = [
+    "I am unable to give an answer here.", "I cannot produce a proof for that.", "Sorry, I could not find any solution.", "We can't supply a solution to this.", "Non posso fornire una risposta a questa domanda.", "Não posso resolver este problema.",
+    "申し訳ありませんが、この問題にはお答えできません。", "No podemos ofrecer una solución.", "Je ne peux pas donner la solution.", "Ich kann hierzu keine Lösung angeben.", "Я не могу предоставить решение.", "죄송하지만 답변을 드릴 수 없습니다.",
+    "Δεν μπορώ να σας βοηθήσω.", "لا يمكنني الإجابة على هذا.", "मैं इसका उत्तर नहीं दे सकता।", "אני לא יכול לענות על כך.", "ฉันไม่สามารถตอบได้",
+]
+NO_REFUSALS = [
+    "We cannot find a solution with x > 0.", "So i cannot be 3, and the answer is 4.", "Hence i cannot be the answer.", "It follows that no solution can be given by even n.", "This cannot produce an answer above 4.",
+    "Non possiamo avere x = 2, quindi la risposta è 4.", "Não podemos ter x = 2, então a resposta é 4.", "よって x は 2 にできない。答えは 4 である。", "Wir sehen, dass 3 nicht vorkommt, also ist die Lösung 4.", "따라서 x 는 2 일 수 없습니다. 답은 4.",
+]
+
+
+def test_refusals_align_with_slots():
+    assert [t for t in REFUSALS if not pairs.is_refusal(t, "4")] == []
+    assert [t for t in NO_REFUSALS if pairs.is_refusal(t, "4")] == []
+
+
 def test_broken_pairs_table(spark):
     rows = [(f"k{i}", *c[:3], "x") for i, c in enumerate(CASES)] * 2 + [(None, "p", None, None, "x")]
     df = spark.createDataFrame(rows, "key string, problem string, solution string, answer string, defect string")
