@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _WORD = re.compile(r"[^\W_]+")
+#: Characters of scripts without spaces between words are words of their own where copies are sought.
+_UNSPACED = "\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\u0e00-\u0e7f\u0e80-\u0eff\u1000-\u109f\u1780-\u17ff\U00020000-\U0003ffff"
+_UNIT = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
+_CHARACTER = re.compile(f"[{_UNSPACED}]")
 _FORMULA = re.compile(r"\$[^$\n]{1,80}\$|\\[A-Za-z]+|\\[()\[\]]")
 _TERMINAL = ".。!?！？"
 _CLOSERS = "\"'”’»)]}*$` \t\n\r）】」"
@@ -105,6 +109,11 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
+def units(text: str) -> list[str]:
+    """Words, but single characters of scripts that don't part words by spaces."""
+    return words(text) if text.isascii() else _UNIT.findall(text.lower())
+
+
 def is_empty(text: str | None) -> bool:
     """Null, blank, without letters and digits, or nothing but placeholders and headings."""
     if text is None:
@@ -199,17 +208,17 @@ def containment(part: list[str], whole: list[str], n: int = 3) -> float:
 
 
 def copy_scores(problem: str, solution: str) -> tuple[float, float]:
-    """(containment of the solution's word runs in the problem, share of its words in a common subsequence with it).
+    """(containment of the solution's word runs in the problem, share of its words in a common subsequence with it), by :func:`units`.
 
     The second is had only where the first does not decide alone (from 0.5 to 0.75), else it is 0.
     """
-    p, s = words(problem), words(solution)
+    p, s = units(problem), units(solution)
     if len(s) < 6:
         return 0.0, 0.0
     held = set(p)
     if sum(w in held for w in s) < 0.4 * len(s):
         return 0.0, 0.0
-    inside = containment(s, p)
+    inside = containment(s, p, 4 if 2 * len(_CHARACTER.findall(solution)) > len(s) else 3)
     return inside, common_subsequence(s, p) / len(s) if 0.5 <= inside < 0.75 else 0.0
 
 
@@ -274,7 +283,8 @@ def broken_pairs(pairs: DataFrame) -> DataFrame:
     - ``refusal``: a declining template aligns with the solution anywhere, or the answer declines;
     - ``empty``: solution or answer is null, blank, or only placeholders and headings;
     - ``copy``: at least 0.75 of the solution's three-word runs stand in the problem, or at least 0.5 of
-      them while 0.7 of its words form a common subsequence with the problem;
+      them while 0.7 of its words form a common subsequence with the problem (in Chinese, Japanese and
+      other scripts without spaces characters count as words, and if most are such, runs have four);
     - ``language``: most of the solution is in another language than the problem;
     - ``truncated``: solution or answer breaks off.
 

@@ -181,6 +181,18 @@ def test_defects(problem, solution, answer, kind):
     assert pairs.defect(problem, solution, answer) == kind
 
 
+@pytest.mark.parametrize("problem, solution, copied", [
+    ("某城有三座桥，每座桥上每天经过的车辆数都相同，求总数。", "某城有三座桥，每座桥上每天经过的车辆数都相同。", True),
+    ("某城有三座桥，每座桥上每天经过的车辆数都相同，求总数。", "某城有四座桥，每座桥上每日经过的车辆数都相同，求总量。", True),
+    ("某城有三座桥，每座桥上每天经过的车辆数都相同，求总数。", "设每座桥有 n 辆车，三座桥共有 3n 辆，因此答案为 3n。", False),
+    ("町には橋が三つあり、それぞれを毎日同じ数の車が通る。総数を求めよ。", "町には橋が三つあり、それぞれを毎日同じ数の車が通る。", True),
+    ("町には橋が三つあり、それぞれを毎日同じ数の車が通る。総数を求めよ。", "一つの橋を n 台が通るとすると、合計は 3n 台である。", False),
+    ("다리가 세 개 있고 매일 같은 수의 차가 지나간다. 모두 몇 대인가?", "다리가 세 개 있고 매일 같은 수의 차가 지나간다.", True),
+])
+def test_copies_in_scripts_without_spaces(problem, solution, copied):
+    assert (pairs.defect(problem, solution, "3n") == "copy") == copied
+
+
 REFUSALS = [
     "I am unable to give an answer here.", "I cannot produce a proof for that.", "Sorry, I could not find any solution.", "We can't supply a solution to this.", "Non posso fornire una risposta a questa domanda.", "Não posso resolver este problema.",
     "申し訳ありませんが、この問題にはお答えできません。", "No podemos ofrecer una solución.", "Je ne peux pas donner la solution.", "Ich kann hierzu keine Lösung angeben.", "Я не могу предоставить решение.", "죄송하지만 답변을 드릴 수 없습니다.",
