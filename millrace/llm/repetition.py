@@ -148,9 +148,14 @@ def fit_forest(texts: DataFrame, share: float, least_words: int, run: int, trees
     texts = texts.where("text is not null")
     rank = F.xxhash64(F.lit(seed), "key", "field_name")
     total = texts.count()
-    low = texts.where(rank < F.lit(int(2 * labelled_rows / max(1, total) * 2**64) - 2**63)) if total > 4 * labelled_rows else texts
-    # about twice the bound is left, repeated rows once; then the lowest are taken
-    rows = [r["text"] for r in low.select(rank.alias("rank"), "text").distinct().orderBy("rank", "text").limit(labelled_rows).select("text").collect()]
+    share_read = 2 * labelled_rows / total if total > 4 * labelled_rows else 1
+    while True:
+        # about twice the bound is left, repeated rows once; then the lowest are taken
+        low = texts.where(rank < F.lit(int(share_read * 2**64) - 2**63)) if share_read < 1 else texts
+        rows = [r["text"] for r in low.select(rank.alias("rank"), "text").distinct().orderBy("rank", "text").limit(labelled_rows).select("text").collect()]
+        if share_read >= 1 or len(rows) >= labelled_rows:
+            break
+        share_read *= 8  # rows repeat, so that fewer than the bound are under the cut
     parts = [statistics(part, run) for _, part in chunks(rows)]
     counts = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0)
     x = np.concatenate([p[1] for p in parts]) if parts else np.zeros((0, len(FEATURES)))

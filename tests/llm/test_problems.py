@@ -246,6 +246,17 @@ def test_repetition(spark):
     assert repetition.repeated_content(df.limit(0)).count() == 0
 
 
+def test_repeated_rows_leave_the_labelled_sample(spark):
+    rng = random.Random(12)
+    one = spark.createDataFrame([(f"k{i}", "f", " ".join(rng.choice("abcdefgh") * 2 for _ in range(rng.randrange(10, 60)))) for i in range(200)], "key string, field_name string, text string")
+    hot = one.where("key = 'k7'").crossJoin(spark.range(4000)).drop("id")
+    fit = lambda df: repetition.fit_forest(df, 0.4, 20, 5, 20, 64, 64, 7)
+    want = fit(one)
+    for df in (one.unionByName(hot), one.crossJoin(spark.range(9)).drop("id")):
+        got = fit(df)
+        assert got[1:] == want[1:] and all(np.array_equal(a, b) for x, y in zip(got[0].trees, want[0].trees) for a, b in zip(x, y))
+
+
 def test_no_row_of_the_share_is_above_the_certain_path():
     rng = np.random.default_rng(3)
     x = rng.random((500, 5))
