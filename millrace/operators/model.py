@@ -8,7 +8,7 @@ they are read twice: recomputing a partition would repeat paid calls.
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import pandas as pd
@@ -21,6 +21,7 @@ from ..functions.json_repair import extract_json_object, json_fields
 from ..functions.records import fill
 from ..functions.text import strip, text_or_empty
 from .dedup import drop_matching
+from .staging import stage
 
 FIELDS = ["problem", "reference_solution", "reference_answer", "claimed_domain", "claimed_difficulty"]
 GENERATOR_SYSTEM, SOLVER_SYSTEM = "Return only one valid JSON object.", "Solve independently. Follow the requested boxed-answer format."
@@ -72,11 +73,12 @@ def generation_jobs(seeds: DataFrame, template: str, model: str, prompt_version:
     return each if done is None else pending(each, done)
 
 
-def generate(work: DataFrame, provider: Provider, retries: int = 2) -> tuple[DataFrame, DataFrame]:
+def generate(work: DataFrame, provider: Provider, retries: int = 2, written: Callable[[DataFrame], DataFrame] = lambda df: df) -> tuple[DataFrame, DataFrame]:
     """(generated, failures) of :func:`generation_jobs`.
 
     A response that does not parse or lacks a field is asked for again with the next seed, up to
     ``retries`` times; then the row goes to the failures with all its errors, cut at 4000 characters.
+    ``written`` may write the replies and read them again before they are parted.
     """
     keep = [c for c in work.columns if c != "prompt"]
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.select(*keep).schema)
@@ -106,12 +108,34 @@ def generate(work: DataFrame, provider: Provider, retries: int = 2) -> tuple[Dat
             out["error"] = ["; ".join(e)[:4000] if p is None else None for p, e in zip(parsed, errors)]
             yield out
 
-    done = work.select(*keep, "prompt").mapInPandas(call, schema)
+    done = written(work.select(*keep, "prompt").mapInPandas(call, schema))
     names = dict(zip(FIELDS, ["synthetic_problem", "synthetic_solution", "synthetic_answer", "claimed_domain", "claimed_difficulty"]))
     good = done.where("error is null").select(*(c for c in keep if c not in names.values()), *(F.col(f"_{f}").alias(to) for f, to in names.items()), "raw_response", "schema_attempts", F.lit(provider.name).alias("generator_model"))
     return good, done.where("error is not null").select("sample_id", "parent_seed_id", "generation_index", F.lit(provider.name).alias("generator_model"), "error")
 
 
+def generate_in_rounds(work: DataFrame, provider: Provider, rounds: int = 8, retries: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(generated, failures): what failed in a round is asked for again in the next, ``rounds`` times in all at most.
+
+    Each round's replies are written, so none is asked for twice. The failures are those of the last round.
+    """
+    good = None
+    for _ in range(max(1, rounds)):
+        made, failed = generate(work if good is None else pending(work, good), provider, retries, lambda df: stage(df, "generated"))
+        good = made if good is None else good.unionByName(made)
+        if failed.isEmpty():
+            break
+    return good, failed
+
+
+def gate(rows: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
+    """``rows``, if they have as many different ``sample_id`` as ``wanted``; else an error that ends the run."""
+    has, target = (df.agg(F.count_distinct("sample_id")).first()[0] for df in (rows, wanted))
+    if has != target:
+        raise RuntimeError(f"{name} incomplete: {has}/{target}")
+    return rows
+
+
 def completions(work: DataFrame, provider: Provider, system: str) -> DataFrame:
     """``work`` (with ``prompt`` and ``seed``) plus ``response``."""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in work.schema) + ", response string"

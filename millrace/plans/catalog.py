@@ -341,8 +341,7 @@ def generation_chain(spark: SparkSession, sf: str) -> DataFrame:
     """Generation, votes and rollouts by the stand-in provider."""
     provider = model.HashProvider()
     work = model.generation_jobs(_once(_seeds(spark, sf), "parent_seed_id"), prompts.GENERATE, provider.name, "v1", "low", 1)
-    good, failed = model.generate(work.select("sample_id", "parent_seed_id", "generation_index", "generation_seed", "prompt"), provider)
-    good = stage(good, "generated")
+    good, failed = model.generate_in_rounds(work.select("sample_id", "parent_seed_id", "generation_index", "generation_seed", "prompt"), provider)
     rolled = model.rollouts(good, provider, prompts.SOLVE, "synthetic_problem", "synthetic_answer", 3)
     counted = rolled.groupBy("sample_id").agg(F.count_if("matches_reference").alias("matches"), F.count("*").alias("rollouts"))
     return good.join(counted, "sample_id").select("sample_id", "schema_attempts", "matches", "rollouts", F.lit(None).cast("string").alias("error")).unionByName(

@@ -114,3 +114,29 @@ def test_parsed_votes(spark):
 def test_manifest_on_empty(spark):
     df = spark.createDataFrame([], "token_usage struct<prompt_tokens: bigint, completion_tokens: bigint, total_tokens: bigint>")
     assert tuple(manifest.usage(df, "token_usage").first()) == (0, 0, 0)
+
+
+def test_failed_generations_are_asked_for_again(spark, tmp_path):
+    import pytest
+
+    from millrace.operators import model
+
+    class Moody(model.HashProvider):
+        """Fails each prompt until it has been asked as often as its number says."""
+
+        def complete(self, prompts, system, seeds):
+            out = []
+            for p in prompts:
+                asked = tmp_path / p
+                asked.write_text(asked.read_text() + "x" if asked.exists() else "x")
+                good = '{"problem": "p", "reference_solution": "s", "reference_answer": "a", "claimed_domain": "d", "claimed_difficulty": "e"}'
+                out.append(good if len(asked.read_text()) >= int(p) else None)
+            return out
+
+    work = spark.createDataFrame([(f"s{i}", f"p{i}", 0, i, str(i)) for i in (1, 2, 4, 9)], "sample_id string, parent_seed_id string, generation_index int, generation_seed bigint, prompt string")
+    good, failed = model.generate_in_rounds(work, Moody(), rounds=5, retries=0)
+    assert sorted(r.sample_id for r in good.collect()) == ["s1", "s2", "s4"] and [r.sample_id for r in failed.collect()] == ["s9"]
+    assert {p.name: len(p.read_text()) for p in tmp_path.iterdir()} == {"1": 1, "2": 2, "4": 4, "9": 5}
+    with pytest.raises(RuntimeError, match="3/4"):
+        model.gate(good, work, "generation")
+    assert model.gate(good, good, "generation").count() == 3
