@@ -1,4 +1,4 @@
-"""Similarity joins on word shingles with exact Jaccard verification, in built-in expressions."""
+"""Similarity joins on the word shingles of normalised texts, with exact Jaccard verification."""
 
 from __future__ import annotations
 
@@ -6,76 +6,60 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import jaccard, normalize_text, shingles
+from .setjoin import run_sets, similar_classes
 from .staging import stage
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, size: int = 5) -> DataFrame:
-    """``key, norm, n, runs``: the hashed shingles of each row's normalised text."""
+    """A written table: ``key``, a 128-bit name of the normalised text (``t1, t2``), and its class and hashed shingles."""
     norm = df.select(F.col(key).alias("key"), normalize_text(text).alias("norm"))
-    runs = norm.select("key", "norm", F.transform(shingles("norm", size, normalized=True), lambda s: F.xxhash64(s)).alias("runs"))
-    return runs.select("key", "norm", F.size("runs").alias("n"), "runs")
-
-
-def _rarest_first(sets: DataFrame, counts: DataFrame, threshold: float) -> DataFrame:
-    """``key, n, run, pos``: the runs of each set that the prefix filter needs, rarest first."""
-    each = sets.select("key", "n", F.explode("runs").alias("run")).join(counts, "run")
-    ordered = each.groupBy("key", "n").agg(F.array_sort(F.collect_list(F.struct("count", "run"))).alias("runs"))
-    length = F.col("n") - F.ceil(F.col("n") * threshold - 1e-9).cast("int") + 1
-    return ordered.select("key", "n", F.posexplode(F.slice("runs", F.lit(1), length)).alias("pos", "run")).select("key", "n", "pos", "run.run")
-
-
-def similar_pairs(left: DataFrame, right: DataFrame | None, threshold: float) -> DataFrame:
-    """``left_key, right_key, similarity`` of all pairs with a Jaccard index of at least ``threshold``.
-
-    ``left`` and ``right`` come from :func:`shingle_sets`; without ``right`` the pairs are those of ``left``
-    with itself, the larger key first. Sets that reach the threshold share one of their rarest runs
-    (prefix filter); length and position filters follow, and the index is computed from the whole sets.
-    """
-    other = left if right is None else right
-    every = left.select("runs") if right is None else left.select("runs").unionByName(right.select("runs"))
-    counts = every.select(F.explode("runs").alias("run")).groupBy("run").count()
-    a = _rarest_first(left, counts, threshold).toDF("left_key", "n_a", "pos_a", "run")
-    b = _rarest_first(other, counts, threshold).toDF("right_key", "n_b", "pos_b", "run")
-    need = F.ceil((F.col("n_a") + F.col("n_b")) * (threshold / (1 + threshold)) - 1e-9)
-    fits = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * threshold - 1e-9) & (F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b")) >= need)
-    if right is None:
-        fits = fits & (F.col("left_key") > F.col("right_key"))
-    pairs = a.join(b, "run").where(fits).select("left_key", "right_key").distinct()
-    sets_a = left.select(F.col("key").alias("left_key"), F.col("runs").alias("runs_a"))
-    sets_b = other.select(F.col("key").alias("right_key"), F.col("runs").alias("runs_b"))
-    scored = pairs.join(sets_a, "left_key").join(sets_b, "right_key").withColumn("similarity", jaccard("runs_a", "runs_b"))
-    return scored.where(F.col("similarity") >= threshold).select("left_key", "right_key", "similarity")
+    named = norm.select("key", F.xxhash64("norm").alias("t1"), F.xxhash64(F.lit(1), "norm").alias("t2"), "norm")
+    return run_sets(named, "norm", ["key", "t1", "t2"], size, blanks=True, name="shingles")
 
 
 def evaluation_hits(rows: DataFrame, key: str, text: str, questions: DataFrame, threshold: float = 0.8) -> DataFrame:
     """``key, hits``: ['exact'] where the normalised text is a question's, else the sorted ids of similar questions.
 
-    ``questions`` has ``eval_id`` and ``question``. Rows without a hit are left out.
+    ``questions`` has ``eval_id`` and ``question``; null and empty ones don't count. Rows without a hit are left
+    out. Texts without words equal a question without words and are similar to none.
     """
-    sets = stage(shingle_sets(rows, key, text), "candidate-sets")
-    held = stage(shingle_sets(questions.where("question is not null and question != ''"), "eval_id", "question"), "question-sets")
-    exact = sets.join(held.select("norm").distinct(), "norm", "left_semi").select("key", F.array(F.lit("exact")).alias("hits"))
-    near = similar_pairs(sets.join(exact, "key", "left_anti"), held, threshold)
-    return exact.unionByName(near.groupBy(F.col("left_key").alias("key")).agg(F.array_sort(F.collect_set("right_key")).alias("hits")))
+    asked = questions.where("question is not null and question != ''").select(F.lit(None).cast(rows.schema[key].dataType).alias("key"), F.col("eval_id").alias("eval_id"), F.col("question").alias("text"))
+    given = rows.select(F.col(key).alias("key"), F.lit(None).cast(questions.schema["eval_id"].dataType).alias("eval_id"), F.col(text).alias("text"))
+    both = given.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True))).withColumn("norm", normalize_text("text"))
+    names = ["key", "eval_id", "asked", "t1", "t2"]
+    named = both.select("key", "eval_id", "asked", F.xxhash64("norm").alias("t1"), F.xxhash64(F.lit(1), "norm").alias("t2"), "norm")
+    sets = run_sets(named, "norm", names, blanks=True, name="hit-sets")
+    questions_named = sets.where("asked")
+    exact = sets.where("not asked").join(questions_named.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi").select("key")
+    blank = named.where("norm = ''")  # has no runs, so it is not in the sets
+    blank_rows = blank.where("not asked").join(blank.where("asked").select("asked").limit(1).withColumn("asked", F.lit(False)), "asked", "left_semi").select("key")
+    exact = stage(exact.unionByName(blank_rows).select("key", F.array(F.lit("exact")).alias("hits")), "exact-hits")
+    near = similar_classes(sets, threshold, "not asked", "asked")
+    ids = near.join(questions_named.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), "eval_id"), ["b1", "b2"])
+    by_class = ids.groupBy(F.col("a1").alias("c1"), F.col("a2").alias("c2")).agg(F.array_sort(F.collect_set("eval_id")).alias("hits"))
+    hit = sets.where("not asked").select("key", "c1", "c2").join(exact.select("key"), "key", "left_anti").join(by_class, ["c1", "c2"])
+    return exact.unionByName(hit.select("key", "hits"))
 
 
 def earlier_duplicates(rows: DataFrame, key: str, text: str, threshold: float = 0.8) -> DataFrame:
     """``key, hits``: for each row the sorted keys of earlier rows (by key) that it repeats or nearly repeats.
 
     Of rows with one normalised text only the first is compared with later ones. A row that is itself a
-    duplicate still counts as an earlier row, so this is a join and needs no recursion.
+    duplicate still counts as an earlier row, so this is a join and needs no recursion. Texts without words
+    repeat nothing. The hits of a class of texts are gathered once and each row takes the earlier ones.
     """
-    sets = stage(shingle_sets(rows, key, text), "duplicate-sets")
-    first = sets.where("norm != ''").groupBy("norm").agg(F.min("key").alias("first"), F.first("n").alias("n"), F.first("runs").alias("runs"))
-    first = stage(first, "duplicate-texts")
-    near = similar_pairs(first.select(F.col("first").alias("key"), "norm", "n", "runs"), None, threshold)
-    both = near.select("left_key", "right_key").unionByName(near.select(F.col("right_key").alias("left_key"), F.col("left_key").alias("right_key")))
-    linked = both.unionByName(first.select(F.col("first").alias("left_key"), F.col("first").alias("right_key")))
-    of_text = sets.select("key", "norm").join(first.select("norm", F.col("first").alias("left_key")), "norm")
-    hits = of_text.join(linked, "left_key").where("right_key < key")
-    return hits.groupBy("key").agg(F.array_sort(F.collect_set("right_key")).alias("hits"))
+    sets = shingle_sets(rows, key, text)
+    first = stage(sets.groupBy("t1", "t2", "c1", "c2").agg(F.min("key").alias("first")), "first-texts")
+    near = similar_classes(sets, threshold).select("a1", "a2", "b1", "b2")
+    own = first.select(F.col("c1").alias("a1"), F.col("c2").alias("a2")).distinct().select("a1", "a2", F.col("a1").alias("b1"), F.col("a2").alias("b2"))
+    links = near.unionByName(near.toDF("b1", "b2", "a1", "a2")).unionByName(own)
+    linked = links.join(first.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), "first"), ["b1", "b2"])
+    by_class = linked.groupBy(F.col("a1").alias("c1"), F.col("a2").alias("c2")).agg(F.array_sort(F.collect_set("first")).alias("firsts"))
+    hits = sets.select("key", "c1", "c2").join(by_class, ["c1", "c2"]).select("key", F.filter("firsts", lambda f: f < F.col("key")).alias("hits"))
+    return hits.where("size(hits) > 0")
 
 
 def row_similarity(a: str | Column, b: str | Column) -> Column:
-    """Jaccard index of the shingles of two columns of one row."""
-    return jaccard(shingles(a), shingles(b))
+    """Jaccard index of the shingles of two columns of one row. Both sets are made once, as one struct."""
+    sets = F.array(F.struct(shingles(a).alias("a"), shingles(b).alias("b")))
+    return F.transform(sets, lambda s: jaccard(s["a"], s["b"]))[0]

@@ -53,15 +53,16 @@ def text_only(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    docs = table(spark, sf, "documents").select("doc_id", text.normalize_text("text").alias("norm"))
-    return dedup.keep_first(docs, F.col("norm"), F.col("doc_id")).select("doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return dedup.keep_least(docs, text.normalize_text("text"), "doc_id").select("doc_id")
 
 
 def distinct_by_source(spark: SparkSession, sf: str) -> DataFrame:
     """Documents long enough and without pictures, once per normalised text, counted by language and source."""
-    docs = table(spark, sf, "documents").select("doc_id", "lang", "source", "text", text.normalize_text("text").alias("norm"))
-    fit = docs.where((F.length("norm") >= 20) & text.is_text_only("text")).drop("text")
-    return dedup.keep_first(fit, F.col("norm"), F.col("doc_id")).groupBy("lang", "source").agg(F.count("*").alias("n"))
+    norm = text.normalize_text("text")
+    fit = table(spark, sf, "documents").select("doc_id", "lang", "source", "text").where((F.length(norm) >= 20) & text.is_text_only("text"))
+    marked = stage(fit.select("doc_id", "lang", "source", F.xxhash64(norm).alias("t1"), F.xxhash64(F.lit(1), norm).alias("t2")), "fit-documents")
+    return dedup.keep_least(marked, F.struct("t1", "t2"), "doc_id").groupBy("lang", "source").agg(F.count("*").alias("n"))
 
 
 def shingle_counts(spark: SparkSession, sf: str) -> DataFrame:
