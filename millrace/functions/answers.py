@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -30,18 +33,50 @@ def extract_boxed(c: str | Column) -> Column:
     return F.when(c.contains("\\boxed{") & (end > 0), strip(tail.substr(F.lit(1), end - 1)))
 
 
+#: Decides whether two answers (as two series of strings) are equal in a way that their normal forms don't show.
+Equal = Callable[[pd.Series, pd.Series], pd.Series]
+
+#: What the normal form of an answer replaces.
+REPLACEMENTS = [(r"\dfrac", r"\frac"), (r"\tfrac", r"\frac"), ("$", ""), (" ", "")]
+
+
+def _said(c: str | Column, also: tuple[str, ...] = ()) -> Column:
+    """As text; null, and a zero of a number's type (or of the types ``also``), is ''. The text "0" is itself."""
+    c = _col(c)
+    numbers = ["tinyint", "smallint", "int", "bigint", "float", "double", *also]
+    zero = F.typeof(c).isin(numbers) & F.coalesce(c.cast("string").isin("0", "0.0", "-0.0", "false"), F.lit(False))
+    return F.when(zero, "").otherwise(text_or_empty(c))
+
+
 def normalize_answer(c: str | Column) -> Column:
-    r"""Stripped, lower case, ``\dfrac`` and ``\tfrac`` as ``\frac``, without dollars, blanks and closing punctuation; null as ''."""
-    out = F.lower(strip(text_or_empty(c)))
-    for old, new in ((r"\dfrac", r"\frac"), (r"\tfrac", r"\frac"), ("$", ""), (" ", "")):
+    r"""Stripped, lower case, ``\dfrac`` and ``\tfrac`` as ``\frac``, without dollars, blanks and closing punctuation; null and a number's 0 as ''."""
+    out = F.lower(strip(_said(c, ("boolean",))))
+    for old, new in REPLACEMENTS:
         out = F.replace(out, F.lit(old), F.lit(new))
     return F.regexp_replace(out, "[.,;:]+$", "")
 
 
-def answer_matches(prediction: str | Column, reference: str | Column) -> Column:
-    """Whether two answers have the same normal form that isn't empty; False for null. (Symbolic equality is not available here.)"""
-    p, r = normalize_answer(prediction), normalize_answer(reference)
-    return _col(prediction).isNotNull() & _col(reference).isNotNull() & (p != "") & (r != "") & (p == r)
+def _also_equal(equal: Equal | None, same: Column, a: Column, b: Column) -> Column:
+    """``same``, or else equal by ``equal``, which sees only what ``same`` leaves open. Runs in Arrow batches."""
+    if equal is None:
+        return same
+
+    @F.pandas_udf("boolean")
+    def ask(x: pd.Series, y: pd.Series) -> pd.Series:
+        open_ = x.notna() & y.notna()
+        out = pd.Series(False, index=x.index)
+        if open_.any():
+            out[open_] = equal(x[open_], y[open_]).astype(bool)
+        return out
+
+    return same | ask(F.when(~same, a), F.when(~same, b))
+
+
+def answer_matches(prediction: str | Column, reference: str | Column, equal: Equal | None = None) -> Column:
+    """Whether two answers have the same normal form that isn't empty, or are ``equal`` (a symbolic comparison, say); False for null."""
+    a, b = _col(prediction), _col(reference)
+    p, r = normalize_answer(a), normalize_answer(b)
+    return _also_equal(equal, a.isNotNull() & b.isNotNull() & (p != "") & (r != "") & (p == r), a.cast("string"), b.cast("string"))
 
 
 def fallback_form(c: str | Column) -> Column:
@@ -50,11 +85,11 @@ def fallback_form(c: str | Column) -> Column:
     return F.regexp_replace(out, "[.,;:]+$", "")
 
 
-def compute_score(response: str | Column, truth: str | Column) -> Column:
-    """1.0 if the response's boxed content equals the truth in the weaker normal form, else 0.0."""
+def compute_score(response: str | Column, truth: str | Column, equal: Equal | None = None) -> Column:
+    """1.0 if the response's boxed content is ``equal`` to the truth or has its weaker normal form, else 0.0."""
     boxed = extract_boxed(text_or_empty(response))
-    same = (boxed != "") & (fallback_form(boxed) == fallback_form(truth))
-    return F.when(F.coalesce(same, F.lit(False)), 1.0).otherwise(0.0)
+    same = F.coalesce((boxed != "") & (fallback_form(boxed) == fallback_form(truth)), F.lit(False))
+    return F.when(_also_equal(equal, same, F.when(boxed != "", boxed), _col(truth).cast("string")), 1.0).otherwise(0.0)
 
 
 def gated_score(response: str | Column, truth: str | Column, question_valid: str | Column) -> Column:
@@ -63,8 +98,8 @@ def gated_score(response: str | Column, truth: str | Column, question_valid: str
 
 
 def parse_bool(c: str | Column) -> Column:
-    """True or false words, any case, outer white space ignored; null for all else."""
-    word = F.lower(strip(text_or_empty(c)))
+    """True or false words, any case, outer white space ignored; null for all else. A number's 0 says nothing, its 1 is true."""
+    word = F.lower(strip(_said(c)))
     return F.when(word.isin(TRUE_WORDS), True).when(word.isin(FALSE_WORDS), False)
 
 

@@ -12,7 +12,7 @@ from .text import _col, strip, text_or_empty
 POOL_PREFIX = "Solve the following math problem step by step. The last line of your response should be of the form Answer: $Answer (without quotes) where $Answer is the answer to the problem."
 POOL_SUFFIX = 'Remember to put your answer on its own line after "Answer:".'
 #: Fixed values of the record formats.
-VIEW_NAME, VIEW_STYLE, AUDITED_NAME, AUDITED_STYLE = "numina_synthetic_substitution", "rule-lighteval/MATH_v2", "rivq_math", "rule"
+VIEW_NAME, VIEW_STYLE, AUDITED_STYLE = "numina_synthetic_substitution", "rule-lighteval/MATH_v2", "rule"
 
 
 def fill(template: str, **columns: str | Column) -> Column:
@@ -68,11 +68,11 @@ def sft_record(synthetic: Column, arm: Column) -> list[Column]:
     ]
 
 
-def audited_records() -> dict[str, list[Column]]:
-    """Columns of the supervised and reinforcement records of an audited pool with ``experimental_group``."""
+def audited_records(name: str = "audited_math") -> dict[str, list[Column]]:
+    """Columns of the supervised and reinforcement records of an audited pool with ``experimental_group``; ``name`` is its ``data_source``."""
     sft = [F.col("sample_id"), F.col("experimental_group").alias("group"), F.array(message("user", F.col("problem")), message("assistant", F.col("reference_solution"))).alias("messages")]
     rlvr = [
-        F.lit(AUDITED_NAME).alias("data_source"), F.array(message("user", F.col("problem"))).alias("prompt"), F.lit("math").alias("ability"),
+        F.lit(name).alias("data_source"), F.array(message("user", F.col("problem"))).alias("prompt"), F.lit("math").alias("ability"),
         F.struct(F.lit(AUDITED_STYLE).alias("style"), F.coalesce(F.col("reference_answer"), F.lit("None")).alias("ground_truth")).alias("reward_model"),
         F.struct("sample_id", F.col("experimental_group").alias("group"), F.col("human_audit.question_valid").alias("question_valid"), "pseudo_answer_p_hat").alias("extra_info"),
     ]

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Markers of problems that need a picture.
 VISUAL_MARKERS = [r"!\[", r"https?://\S+\.(?:png|jpe?g|gif|svg)", r"\bfigure\b", r"\bdiagram\b"]
+#: Addresses, and what is no letter, digit or Chinese character.
+ADDRESS, OTHER_SIGNS = r"https?://\S+", r"[^a-z0-9\u4e00-\u9fff]+"
 #: Fixed value: layout commands that say nothing.
 LAYOUT_COMMANDS = r"\\(?:left|right|displaystyle|textstyle)"
 
@@ -27,9 +29,9 @@ def text_or_empty(c: str | Column) -> Column:
 def normalize_text(c: str | Column) -> Column:
     """Lower case; URLs, layout commands and all but a-z, 0-9 and Chinese characters become single blanks. Null becomes ''."""
     out = F.lower(text_or_empty(c))
-    out = F.regexp_replace(out, r"(?U)https?://\S+", " ")
+    out = F.regexp_replace(out, "(?U)" + ADDRESS, " ")
     out = F.regexp_replace(out, LAYOUT_COMMANDS, " ")
-    out = F.regexp_replace(out, r"[^a-z0-9\u4e00-\u9fff]+", " ")
+    out = F.regexp_replace(out, OTHER_SIGNS, " ")
     return F.trim(out)
 
 

@@ -9,8 +9,10 @@ from ..functions.answers import parse_bool
 from .sampling import take
 
 #: The columns of an audit sheet, and those hidden from annotators on request.
-SHEET = """sample_id problem reference_solution reference_answer auto_valid_votes auto_reference_correct_votes auto_invalid_type
-annotator_id question_valid invalid_type unique_answer_exists reference_answer_correct difficulty confidence notes""".split()
+SHEET = [
+    "sample_id", "problem", "reference_solution", "reference_answer", "auto_valid_votes", "auto_reference_correct_votes", "auto_invalid_type", "annotator_id",
+    "question_valid", "invalid_type", "unique_answer_exists", "reference_answer_correct", "difficulty", "confidence", "notes",
+]
 HIDDEN = ["auto_valid_votes", "auto_reference_correct_votes", "auto_invalid_type"]
 
 

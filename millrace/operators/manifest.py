@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .dedup import duplicates, record_id
+
 TOKEN_FIELDS = ["prompt_tokens", "completion_tokens", "total_tokens"]
 
 
@@ -42,6 +44,33 @@ def release_manifest(pairs: DataFrame, quality: DataFrame) -> DataFrame:
     return made.crossJoin(judged).crossJoin(tokens).crossJoin(solver)  # one row each
 
 
+def by_key(df: DataFrame, section: str, column: str) -> DataFrame:
+    """``section, name, value``: rows for each value of a column, null as None."""
+    return df.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("None")).alias("name")).agg(F.count("*").alias("value")).select(F.lit(section).alias("section"), "name", "value")
+
+
+def as_section(row: DataFrame, section: str) -> DataFrame:
+    """A one-row table of counts as ``section, name, value``."""
+    pairs = F.map_from_arrays(F.array(*map(F.lit, row.columns)), F.array(*(F.col(f"`{c}`").cast("bigint") for c in row.columns)))
+    return row.select(F.lit(section).alias("section"), F.explode(pairs).alias("name", "value"))
+
+
+def invalid_records(lines: DataFrame, value: str, required: list[str]) -> DataFrame:
+    """``problem, name, n`` of JSON lines: ids that repeat, and required keys that lines lack. Empty if the lines are valid.
+
+    A record's id is its ``sample_id`` unless that is empty, else that of its ``extra_info``.
+    """
+    ids = duplicates(lines.select(record_id(F.get_json_object(value, "$.sample_id"), F.get_json_object(value, "$.extra_info.sample_id")).alias("id")), "id")
+    lacking = missing_keys(lines, value, required).where("missing > 0")
+    return ids.select(F.lit("repeated id").alias("problem"), F.col("id").alias("name"), "n").unionByName(lacking.select(F.lit("missing key").alias("problem"), F.col("key").alias("name"), F.col("missing").alias("n")))
+
+
+def require_valid(invalid: DataFrame) -> None:
+    """ValueError naming some of the rows of :func:`invalid_records`, if there are any."""
+    if some := invalid.orderBy("problem", "name").limit(5).collect():
+        raise ValueError("invalid records: " + ", ".join(f"{r['problem']} {r['name']} ({r['n']})" for r in some))
+
+
 def missing_keys(lines: DataFrame, value: str, keys: list[str]) -> DataFrame:
     """``key, missing``: JSON lines without each key. A key with a null value is present."""
     present = F.json_object_keys(value)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.answers import is_parseable
 from ..functions.text import strip, text_or_empty
+from .manifest import as_section, by_key
 from .similarity import earlier_duplicates, evaluation_hits, row_similarity
 from .staging import stage
 from .votes import rollout_matches
@@ -43,6 +44,11 @@ def assess(rows: DataFrame, questions: DataFrame, threshold: float = 0.8, requir
     return flagged.withColumn("quality_accept", F.expr(accept))
 
 
+def quality_manifest(assessed: DataFrame) -> DataFrame:
+    """``section, name, value``: the counts of :func:`failure_counts` and the rows of each source."""
+    return as_section(failure_counts(assessed), "checks").unionByName(by_key(assessed, "by_source", "source"))
+
+
 def failure_counts(assessed: DataFrame) -> DataFrame:
     """One row with the number of rows, of accepted ones, and of failures of each check."""
     count = lambda condition, name: F.count_if(F.expr(condition)).alias(name)

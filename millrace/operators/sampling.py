@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import rank_key
 from .ranks import hash_bucket, ranked
+from .staging import stage
 
 
 def cap_by_group(df: DataFrame, group: list[str], key: str, limit: int, seed: int) -> DataFrame:
@@ -24,13 +25,23 @@ def take(df: DataFrame, key: str, limit: int, seed: int) -> DataFrame:
     ``limit``) are sorted, however many tasks there are.
     """
     order = rank_key(seed, key)
-    rows = df.count()
-    if rows > 4 * limit:
-        cut = f"{2 * limit * 16**12 // rows:012x}"
-        low = df.where(order < cut)
-        if low.count() >= limit:
-            df = low
-    return df.orderBy(order, key).limit(limit)
+    keyed = stage(df.select(key, order.alias("_order")), "sample-keys")  # the input is read for its keys once, then for the rows taken
+    rows = keyed.count()
+    low = keyed.where(F.col("_order") < f"{2 * limit * 16**12 // rows:012x}") if rows > 4 * limit else keyed
+    if rows > 4 * limit and low.count() < limit:
+        low = keyed
+    last = low.orderBy("_order", key).limit(limit).agg(F.max("_order")).first()[0]
+    return df.where(order <= F.lit(last)).orderBy(order, key).limit(limit)
+
+
+def first_by(df: DataFrame, key: str, limit: int) -> DataFrame:
+    """The ``limit`` rows with the least keys (all if 0): each task sends that many at most."""
+    return df.orderBy(key).limit(limit) if limit > 0 else df
+
+
+def canonical_order(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Sorted for writing: by ranges of the keys, in parallel."""
+    return df.orderBy(*keys)
 
 
 def quotas_with_transfer(available: DataFrame, quotas: dict[str, int], from_source: str, to_source: str) -> DataFrame:
@@ -45,6 +56,13 @@ def quotas_with_transfer(available: DataFrame, quotas: dict[str, int], from_sour
     return joined.select("source", "available", quota.alias("quota"))
 
 
+def require_quotas(quotas: DataFrame) -> DataFrame:
+    """``quotas`` of :func:`quotas_with_transfer`; ValueError if a source has fewer rows than its quota."""
+    if short := quotas.where("available < quota").collect():  # one row a source
+        raise ValueError("not enough rows: " + ", ".join(f"{r['source']} {r['available']}/{r['quota']}" for r in sorted(short)))
+    return quotas
+
+
 def quota_sample(df: DataFrame, source: str, key: str, quotas: DataFrame, seed: int) -> DataFrame:
     """``quota`` rows of each source in ``quotas``, by keyed hash."""
     rows = df.withColumn("_order", rank_key(seed, key)).join(quotas.select(F.col("source").alias(source), "quota"), source)

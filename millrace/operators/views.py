@@ -48,6 +48,15 @@ def arm_counts(views: DataFrame) -> DataFrame:
     return info.groupBy("arm", "source").agg(F.count("*").alias("rows"), F.count_if(F.col("origin") == "synthetic").alias("synthetic"))
 
 
+def view_manifest(views: DataFrame) -> DataFrame:
+    """``section, name, value`` of all arms: rows, synthetic ones, and rows by source, null as None."""
+    info = views.select("extra_info.*")
+    counts = info.groupBy("arm").agg(F.count("*").alias("rows"), F.count_if(F.col("origin") == "synthetic").alias("synthetic"))
+    each = counts.select(F.concat(F.lit("arms."), "arm").alias("section"), F.explode(F.create_map(F.lit("rows"), F.col("rows"), F.lit("synthetic"), F.col("synthetic"))).alias("name", "value"))
+    sources = info.where("arm != 'fallback'").groupBy("arm", F.coalesce("source", F.lit("None")).alias("name")).agg(F.count("*").alias("value"))
+    return each.unionByName(sources.select(F.format_string("arms.%s.by_source", "arm").alias("section"), "name", "value"))
+
+
 def with_group(rows: DataFrame) -> DataFrame:
     """Adds ``experimental_group`` to audited rows: a human verdict first, then unanimous automatic votes."""
     valid, correct = F.col("human_audit.question_valid"), F.col("human_audit.reference_answer_correct")
@@ -56,7 +65,7 @@ def with_group(rows: DataFrame) -> DataFrame:
     return rows.withColumn("experimental_group", group)
 
 
-def audited_datasets(rows: DataFrame) -> dict[str, DataFrame]:
+def audited_datasets(rows: DataFrame, name: str = "audited_math") -> dict[str, DataFrame]:
     """The supervised, reinforcement and invalid-only datasets of grouped rows."""
-    kinds = audited_records()
+    kinds = audited_records(name)
     return {"sft": rows.select(*kinds["sft"]), "rlvr": rows.select(*kinds["rlvr"]), "invalid_eval": rows.where("human_audit.question_valid = false")}

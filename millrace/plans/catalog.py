@@ -14,7 +14,7 @@ from ..sources import files
 from ..streaming.resume import resume_stream
 from . import seeds as seed_plans
 
-SEED = 20260714
+SEED = 41
 QUOTAS = {"cn_contest": 500, "amc_aime": 800, "olympiads_ref": 60, "inequalities": 20, "number_theory": 20}
 SPLITS = [("train", 100), ("development", 40)]
 
@@ -319,12 +319,19 @@ def counts_by_split_source(spark: SparkSession, sf: str) -> DataFrame:
 # Whole chains
 
 
-def canonical_seeds(spark: SparkSession, sf: str) -> DataFrame:
+def _canonical(spark: SparkSession, sf: str) -> seed_plans.CanonicalSeeds:
     raw = _once(table(spark, sf, "numina_5k_seeds"), "parent_seed_id").select("source", "problem", "solution", "answer", "problem_type", "question_type", F.col("parent_seed_id").alias("arrival"))
     raw = raw.withColumn("source", F.lower(F.trim("source")))
     quotas = {s: n // 10 for s, n in QUOTAS.items()}
-    made = seed_plans.canonical_seeds(raw, table(spark, sf, "eval_questions"), quotas, ("amc_aime", "cn_contest"), SPLITS, "held_out_audit", SEED, "arrival", F.col("source").isin(list(QUOTAS)) & (F.col("question_type") == "math-word-problem"))
-    return made.select("parent_seed_id", "split", "source", "real_answer")
+    return seed_plans.canonical_plan(raw, table(spark, sf, "eval_questions"), quotas, ("amc_aime", "cn_contest"), SPLITS, "held_out_audit", SEED, "arrival", F.col("source").isin(list(QUOTAS)) & (F.col("question_type") == "math-word-problem"))
+
+
+def canonical_seeds(spark: SparkSession, sf: str) -> DataFrame:
+    return _canonical(spark, sf).seeds.select("parent_seed_id", "split", "source", "real_answer")
+
+
+def seed_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return _canonical(spark, sf).manifest()
 
 
 def pool_seeds(spark: SparkSession, sf: str) -> DataFrame:
@@ -338,16 +345,42 @@ def repaired_json(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("sample_id", json_fields(F.col("raw_response"), model.FIELDS).alias("v")).select("sample_id", "v.ok", "v.problem", "v.reference_answer")
 
 
-def generation_chain(spark: SparkSession, sf: str) -> DataFrame:
-    """Generation, votes and rollouts by the stand-in provider."""
+_AT = "2026-01-01T00:00:00+00:00"
+
+
+def _generated(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, model.HashProvider]:
+    """Pairs and failures of the stand-in provider: one job for each seed, in two rounds."""
     provider = model.HashProvider()
     work = model.generation_jobs(_once(_seeds(spark, sf), "parent_seed_id"), prompts.GENERATE, provider.name, "v1", "low", 1)
-    good, failed = model.generate_in_rounds(work.select("sample_id", "parent_seed_id", "generation_index", "generation_seed", "prompt"), provider)
-    rolled = model.rollouts(good, provider, prompts.SOLVE, "synthetic_problem", "synthetic_answer", 3)
-    counted = rolled.groupBy("sample_id").agg(F.count_if("matches_reference").alias("matches"), F.count("*").alias("rollouts"))
-    return good.join(counted, "sample_id").select("sample_id", "schema_attempts", "matches", "rollouts", F.lit(None).cast("string").alias("error")).unionByName(
-        failed.select("sample_id", F.lit(None).cast("int").alias("schema_attempts"), F.lit(None).cast("bigint").alias("matches"), F.lit(None).cast("bigint").alias("rollouts"), "error")
-    )
+    good, failed = model.generate_in_rounds(work, provider, rounds=2, at=F.lit(_AT))
+    return good, failed, provider
+
+
+def generated_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole pair row, its struct of usage as columns."""
+    good = _generated(spark, sf)[0]
+    return good.select(*(c for c in good.columns if c != "token_usage"), "token_usage.*")
+
+
+def generation_failures(spark: SparkSession, sf: str) -> DataFrame:
+    return _generated(spark, sf)[1]
+
+
+def generation_chain(spark: SparkSession, sf: str) -> DataFrame:
+    """Generation, then three rollouts of each pair, in rounds; pairs whose solver failed come out with the error."""
+    good, _, provider = _generated(spark, sf)
+    solved, failed = model.in_rounds(good, lambda rest: model.solve(rest, provider, prompts.SOLVE, 3, at=F.lit(_AT)), rounds=2)
+    tokens = F.aggregate("solver_rollouts", F.lit(0).cast("bigint"), lambda s, r: s + r["token_usage"]["total_tokens"])
+    predictions = F.array_join(F.transform("solver_rollouts", lambda r: r["prediction"]), ",")
+    done = solved.select(
+        "sample_id", "schema_attempts", "solver_model", "solver_rollouts_k", "solver_matches", "solver_match_rate", "solver_declared_invalid", predictions.alias("predictions"), tokens.alias("tokens"),
+        "solved_at", *(F.lit(None).cast("string").alias(c) for c in ("error_type", "error", "failed_at")),
+    )
+    return done.unionByName(failed, allowMissingColumns=True)
+
+
+def failure_log(spark: SparkSession, sf: str) -> DataFrame:
+    return model.log_lines(_generated(spark, sf)[1])
 
 
 def verdict_chain(spark: SparkSession, sf: str) -> DataFrame:
@@ -357,6 +390,121 @@ def verdict_chain(spark: SparkSession, sf: str) -> DataFrame:
     return votes.vote_summary(model.parsed_votes(made.select("sample_id", "vote", reply.alias("response"))), "sample_id", 3)
 
 
+def limited_solutions(spark: SparkSession, sf: str) -> DataFrame:
+    """The first 50 pending pairs by id."""
+    todo = model.pending(_pairs(spark, sf).select("sample_id"), table(spark, sf, "gpt_pairs_solved"))
+    return sampling.first_by(todo, "sample_id", 50)
+
+
+def quality_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return quality.quality_manifest(_assessed(spark, sf))
+
+
+def view_manifest(spark: SparkSession, sf: str) -> DataFrame:
+    return views.view_manifest(views.rlvr_views(_view_rows(spark, sf), SEED))
+
+
+def invalid_records(spark: SparkSession, sf: str) -> DataFrame:
+    """Repeated ids and missing keys of pairs and views, as lines of one log."""
+    pairs = table(spark, sf, "gpt_pairs").select(F.to_json(F.struct("sample_id", "split")).alias("value"))
+    view = table(spark, sf, "rlvr").select(F.to_json(F.struct("extra_info", F.lit("").alias("sample_id"))).alias("value"))
+    return manifest.invalid_records(pairs.unionByName(view), "value", ["sample_id", "extra_info"])
+
+
+def quota_shortages(spark: SparkSession, sf: str) -> DataFrame:
+    """Sources that lack rows for their quota, after the transfer."""
+    return source_quotas(spark, sf).where("available < quota")
+
+
+# Files
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def appended_log(spark: SparkSession, sf: str) -> DataFrame:
+    """A log written in two parts, read back."""
+    rows, path = table(spark, sf, "gpt_pairs").select("sample_id", "split", "generation_index"), _folder(spark, "log")
+    for part in ("generation_index = 0", "not coalesce(generation_index = 0, false)"):
+        files.write_jsonl(rows.where(part), path, mode="append")
+    return files.read_jsonl(spark, path, rows.schema)
+
+
+def view_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The views in both formats and the Parquet export of the JSON lines, counted by arm as read back."""
+    made, path = views.rlvr_views(_view_rows(spark, sf), SEED), _folder(spark, "views")
+    files.write_view(made, f"{path}/rlvr")
+    files.export_parquet(spark, f"{path}/rlvr.jsonl", f"{path}/export.parquet", made.schema)
+    read = {"parquet": spark.read.schema(made.schema).parquet(f"{path}/rlvr.parquet"), "jsonl": files.read_jsonl(spark, f"{path}/rlvr.jsonl", made.schema), "export": files.read_columns(spark, f"{path}/export.parquet", ["reward_model", "extra_info"])}
+    out = None
+    for name, df in read.items():
+        one = df.groupBy("extra_info.arm").agg(F.count("*").alias("rows"), F.count_if(F.col("extra_info.origin") == "synthetic").alias("synthetic"), F.sum(F.length("reward_model.ground_truth")).alias("answer_chars")).withColumn("format", F.lit(name))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+def evaluation_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions written as one set of lines and one of an array under ``data``, read back with their numbers."""
+    root = _folder(spark, "evaluation")
+    rows = table(spark, sf, "eval_questions").where("question is not null").orderBy("eval_id", "question")
+    lines = rows.select(F.to_json(F.struct(F.lit("").alias("problem"), F.col("question").alias("query"))).alias("value"))
+    lines.coalesce(1).write.text(f"{root}/math/test.jsonl")
+    items = F.transform(F.array_sort(F.collect_list(F.struct("eval_id", "question"))), lambda r: F.struct(r["question"].alias("problem")))
+    rows.agg(F.to_json(F.struct(items.alias("data"))).alias("value")).coalesce(1).write.text(f"{root}/amc23/test.json")
+    return files.evaluation_questions(spark, root)
+
+
+def sheet_files(spark: SparkSession, sf: str) -> DataFrame:
+    """The audit sheet written for a spreadsheet and read back."""
+    path = _folder(spark, "sheet")
+    files.write_sheet(audit_sample(spark, sf), path)
+    return files.read_sheet(spark, path)
+
+
+def theory_file(spark: SparkSession, sf: str) -> DataFrame:
+    path = _folder(spark, "theory")
+    files.write_sheet(regime_theory(spark, sf), path, mark=False)
+    return files.read_sheet(spark, path).select(F.col("k").cast("int"), *(F.col(c).cast("double") for c in ("p", "dead", "active", "saturated")))
+
+
+def _artifacts(spark: SparkSession, sf: str) -> str:
+    root = _folder(spark, "artifacts")
+    table(spark, sf, "region").select("r_name").coalesce(1).sortWithinPartitions("r_name").write.text(f"{root}/regions")
+    table(spark, sf, "nation").select("n_name").coalesce(1).sortWithinPartitions("n_name").write.text(f"{root}/nations")
+    return root
+
+
+def artifact_digests(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes and digests of written files; one that is named but absent is left out."""
+    found = files.artifact_digests(spark, _artifacts(spark, sf), ["regions", "nations", "absent"])
+    return found.select(F.element_at(F.split("name", "/"), 1).alias("name"), "bytes", "sha256")
+
+
+def snapshot_mismatches(spark: SparkSession, sf: str) -> DataFrame:
+    """Files whose digest is not the one expected."""
+    root = _artifacts(spark, sf)
+    have = files.file_digests(spark, f"{root}/*").select(F.element_at(F.split("path", "/"), -1).alias("file"), F.element_at(F.split("path", "/"), -2).alias("name"), "sha256")
+    expected = have.select(F.col("file").alias("name"), F.when(F.col("name") == "regions", "0").otherwise(F.col("sha256")).alias("sha256"))
+    expected = expected.unionByName(spark.createDataFrame([("gone", "0")], "name string, sha256 string"))
+    wrong = files.digest_mismatches(spark, f"{root}/*", expected)
+    return wrong.select(F.when(F.col("name") == "gone", "gone").otherwise("changed").alias("kind"), "found")
+
+
+def projected_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """Some columns of a table, the rest never read."""
+    return files.read_columns(spark, f"{sf}/gpt_pairs.parquet", ["sample_id", "split", "claimed_domain"]).distinct()
+
+
+def number_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """Numbers as answers and flags: a 0 says nothing, unlike the text."""
+    rows = table(spark, sf, "nation").select("n_nationkey", "n_regionkey", F.col("n_regionkey").cast("string").alias("word"))
+    return rows.select(
+        "n_nationkey", answers.normalize_answer("n_regionkey").alias("norm"), answers.parse_bool("n_regionkey").alias("flag"), answers.normalize_answer("word").alias("word_norm"), answers.parse_bool("word").alias("word_flag"),
+        answers.answer_matches("n_regionkey", "word").alias("same"),
+    )
+
+
 def jsonl_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "gpt_pairs_solved")
     path = f"{shared_dir(spark)}/jsonl-{uuid.uuid4().hex}"
@@ -379,6 +527,7 @@ _ALL = [
     decontamination, earlier_duplicates, quality_policy, quality_failures, eligible_seeds, source_quotas, quota_sample, split_assignment, group_caps,
     audit_sample, nested_positions, rlvr_views, sft_views, arm_counts, merged_audit, assigned_groups, audited_datasets, pending_solutions, duplicate_ids,
     missing_keys, generator_usage, solver_usage, release_manifest, counts_by_split_source, canonical_seeds, pool_seeds, repaired_json, generation_chain,
-    verdict_chain, jsonl_round_trip, resumed_stream,
+    verdict_chain, jsonl_round_trip, resumed_stream, generated_pairs, generation_failures, failure_log, seed_manifest, quality_manifest, view_manifest, invalid_records,
+    limited_solutions, quota_shortages, appended_log, view_files, evaluation_files, sheet_files, theory_file, artifact_digests, snapshot_mismatches, projected_pairs, number_answers,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

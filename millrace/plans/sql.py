@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..functions import prompts
+from ..functions.json_repair import LATEX_COMMANDS
 from .catalog import QUOTAS, SEED, SPLITS
 
 _SPACE = r"[\s\x{a0}\x{2000}-\x{200a}\x{3000}]"
@@ -167,6 +168,34 @@ _CANON = f"""raw AS (SELECT DISTINCT ON (parent_seed_id) parent_seed_id AS arriv
   quotas AS (SELECT source, requested + CASE source WHEN 'amc_aime' THEN -m WHEN 'cn_contest' THEN m ELSE 0 END AS quota FROM wanted, moved),
   chosen AS (SELECT c.* FROM clean c JOIN quotas q USING (source) QUALIFY row_number() OVER (PARTITION BY c.source ORDER BY {rank("parent_seed_id")}, parent_seed_id) <= any_value(q.quota) OVER (PARTITION BY c.source))"""
 
+
+def _stub(seed: str, prompt: str) -> str:
+    """The stand-in provider's number."""
+    return f"('0x' || substr(sha256({seed} || chr(31) || {prompt}), 1, 6))::BIGINT"
+
+
+_AT = "'2026-01-01T00:00:00+00:00'"
+_GENERATED = f"""jobs AS (SELECT *, {stable("pair", "parent_seed_id", "'hash-stub'", "'v1'", "'low'", "0")} AS sample_id, {seed31("parent_seed_id", "0")} AS base, {filled(prompts.GENERATE, domain="domain", difficulty="difficulty", problem="problem")} AS prompt
+    FROM (SELECT DISTINCT parent_seed_id, lower(trim(split, ' ')) AS split, lower(trim(source, ' ')) AS source, lower(trim(problem_type, ' ')) AS problem_type, question_type, domain, difficulty, problem, real_problem, real_solution, real_answer FROM numina_5k_seeds)),
+  tries AS (SELECT sample_id, a, {_stub("(base + a)", "prompt")} AS n FROM jobs, (SELECT unnest(range(3)) AS a)),
+  judged AS (SELECT *, n % 3 <> 0 AND n % 13 <> 0 AS good, CASE WHEN n % 3 = 0 THEN 'the response holds no JSON object' ELSE 'missing fields [''claimed_difficulty'']' END AS err FROM tries),
+  first_good AS (SELECT sample_id, min(a) AS a FROM judged WHERE good GROUP BY sample_id),
+  made AS (SELECT j.*, f.a, t.n FROM jobs j JOIN first_good f USING (sample_id) JOIN tries t ON t.sample_id = j.sample_id AND t.a = f.a),
+  failed AS (SELECT sample_id, string_agg(err, '; ' ORDER BY a) AS error FROM judged WHERE sample_id NOT IN (SELECT sample_id FROM first_good) GROUP BY sample_id)"""
+_RAW = r"""'```json' || chr(10) || '{"problem": "Find \frac{' || n || '}{7}.", "reference_solution": "Take ' || n || ' modulo 5.", "reference_answer": "' || n % 5 || '", "claimed_domain": "Algebra", "claimed_difficulty": "olympiad"}' || chr(10) || '```'"""
+_SOLVED = rf"""{_GENERATED}, rolled AS (SELECT sample_id, a, n, r, {_stub(seed31("sample_id", "'solver'", "r"), filled(prompts.SOLVE, problem=r"('Find \frac{' || n || '}{7}.')"))} AS m FROM made, (SELECT unnest(range(3)) AS r)),
+  solved AS (SELECT sample_id, any_value(a) AS a, bool_or(m % 17 = 0) AS broken, count(*) FILTER (m % 5 = n % 5) AS matches, string_agg(m % 5, ',' ORDER BY r) AS predictions, sum(m % 100 + m % 50) AS tokens FROM rolled GROUP BY sample_id)"""
+_SECTIONS = lambda of, names: " UNION ALL ".join(f"SELECT '{of}' AS section, '{n}' AS name, {v}::BIGINT AS value FROM {t}" for n, v, t in names)
+_REGIONS, _NATIONS = (f"(SELECT string_agg({c} || chr(10), '' ORDER BY {c}) AS content FROM {t})" for c, t in (("r_name", "region"), ("n_name", "nation")))
+_COMMANDS = rf"(^|[^\\])\\((?:(?:{'|'.join(LATEX_COMMANDS)})\b)|[()\[\]])"
+_DOUBLED = rf"regexp_replace(regexp_replace({{x}}, '{_COMMANDS}', '\1\\\\\2', 'g'), '{_COMMANDS}', '\1\\\\\2', 'g')"
+_ESCAPED = r"""regexp_replace({x}, '\\([^\\"/bfnrtu]|$)', '\\\\\1', 'g')"""
+_REPAIRED = rf"""opened AS (SELECT DISTINCT sample_id, raw_response, {strip("coalesce(raw_response, '')")} AS s FROM gpt_pairs),
+  body AS (SELECT *, regexp_replace(regexp_replace(s, '^```(?:json)?\s*', ''), '\s*```$', '') AS t FROM opened),
+  cut AS (SELECT *, strpos(t, '{{') AS i, length(t) - strpos(reverse(t), '}}') + 1 AS j FROM body),
+  one AS (SELECT *, {_DOUBLED.format(x="substr(t, i, j - i + 1)")} AS x FROM cut WHERE i > 0 AND strpos(t, '}}') > 0 AND i < j),
+  two AS (SELECT *, CASE WHEN json_valid(x) THEN x WHEN json_valid({_ESCAPED.format(x="x")}) THEN {_ESCAPED.format(x="x")} END AS y FROM one)"""
+
 SQL: dict[str, str] = {
     "distinct_by_source": f"SELECT lang, source, count(*) AS n FROM (SELECT * FROM (SELECT doc_id, lang, source, text, {norm('text')} AS norm FROM documents) WHERE length(norm) >= 20 AND {_TEXT_ONLY} QUALIFY row_number() OVER (PARTITION BY norm ORDER BY doc_id) = 1) GROUP BY lang, source",
     "normalize_text": f"SELECT doc_id, {norm('text')} AS norm FROM documents",
@@ -218,5 +247,30 @@ SQL: dict[str, str] = {
     "pool_seeds": f"SELECT {stable('seed', chr(39) + 'pool' + chr(39), 'source_id')} AS seed_id, source_id, coalesce(ability, 'MATH') AS domain, {strip('coalesce(content, ' + chr(39) * 2 + ')')} AS problem FROM (SELECT extra_info.parent_seed_id AS source_id, extra_info.sample_id AS sample_id, prompt[1].content AS content, ability FROM rlvr) QUALIFY row_number() OVER (PARTITION BY source_id ORDER BY sample_id NULLS FIRST, content NULLS FIRST) = 1",
     "verdict_chain": f"WITH {_VOTES}, read AS (SELECT sample_id, vote, vote <> 2 AND question_valid AS question_valid, vote <> 2 AND reference_answer_correct AS reference_answer_correct, CASE WHEN vote = 2 THEN 'other_invalid' ELSE invalid_type END AS invalid_type FROM votes), {_summary('read')} SELECT * FROM voted",
     "jsonl_round_trip": "SELECT sample_id, synthetic_problem, solver_match_rate, solver_matches, len(solver_rollouts)::INT AS rollouts FROM gpt_pairs_solved",
+    "generated_pairs": f"""WITH {_GENERATED} SELECT parent_seed_id, split, source, problem_type, question_type, real_problem, real_solution, real_answer, 0 AS generation_index, sample_id, base + a AS generation_seed, 'v1' AS prompt_version, 'low' AS reasoning_effort,
+      'Find \\frac{{' || n || '}}{{7}}.' AS synthetic_problem, 'Take ' || n || ' modulo 5.' AS synthetic_solution, (n % 5)::VARCHAR AS synthetic_answer, 'Algebra' AS claimed_domain, 'olympiad' AS claimed_difficulty, 'hash-stub' AS generator_model, 0.9::DOUBLE AS generation_temperature,
+      n % 100 AS prompt_tokens, n % 50 AS completion_tokens, n % 100 + n % 50 AS total_tokens, 1 AS request_attempts, (a + 1)::INT AS schema_attempts, {_AT} AS generated_at, {_RAW} AS raw_response FROM made""",
+    "generation_failures": f"WITH {_GENERATED} SELECT sample_id, parent_seed_id, split, 'v1' AS prompt_version, 0 AS generation_index, 'hash-stub' AS generator_model, {_AT} AS failed_at, 'RuntimeError' AS error_type, error FROM failed JOIN jobs USING (sample_id)",
+    "failure_log": f"""WITH {_GENERATED} SELECT '{{"status":"failed","sample_id":"' || sample_id || '","error":"' || error || '"}}' AS line FROM failed""",
+    "generation_chain": f"""WITH {_SOLVED} SELECT sample_id, (a + 1)::INT AS schema_attempts, 'hash-stub' AS solver_model, 3 AS solver_rollouts_k, matches::INT AS solver_matches, matches / 3 AS solver_match_rate, 0 AS solver_declared_invalid, predictions, tokens::BIGINT AS tokens, {_AT} AS solved_at,
+      NULL::VARCHAR AS error_type, NULL::VARCHAR AS error, NULL::VARCHAR AS failed_at FROM solved WHERE NOT broken UNION ALL SELECT sample_id, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 'TimeoutError', 'no reply', {_AT} FROM solved WHERE broken""",
+    "repaired_json": f"WITH {_REPAIRED} SELECT o.sample_id, y IS NOT NULL AS ok, y ->> '$.problem' AS problem, y ->> '$.reference_answer' AS reference_answer FROM opened o LEFT JOIN two t ON o.sample_id = t.sample_id AND o.raw_response IS NOT DISTINCT FROM t.raw_response",
+    "seed_manifest": f"""WITH {_CANON}, steps AS ({_SECTIONS("counts", [("eligible_before_exact_dedup", "count(*)", "fit WHERE length(norm) >= 20 AND " + _TEXT_ONLY.replace("(text,", "(problem,")), ("eligible_after_exact_dedup", "count(*)", "once"), ("contaminated", "count(DISTINCT sample_id)", "eval_hits")])}),
+      done AS (SELECT source, {_split('row_number() OVER (ORDER BY ' + rank('parent_seed_id').replace(str(SEED), str(SEED + 1), 1) + ', parent_seed_id)')} AS split FROM chosen)
+      SELECT * FROM steps UNION ALL SELECT 'source_quotas', source, quota FROM quotas UNION ALL SELECT 'available_clean_by_source', source, count(*) FROM clean GROUP BY source UNION ALL SELECT 'selected_by_source', source, count(*) FROM done GROUP BY source UNION ALL SELECT 'selected_by_split', split, count(*) FROM done GROUP BY split""",
+    "quality_manifest": f"""WITH {_POLICY}, checks AS ({_SECTIONS("checks", [("rows", "count(*)", "policy"), *((n, f"count(*) FILTER ({w})", "policy") for n, w in (("quality_accept", "quality_accept"), ("schema_failed", "NOT schema_ok"), ("unparseable", "NOT answer_parseable"), ("eval_contaminated", "eval_contaminated"), ("synthetic_duplicate", "synthetic_duplicate"), ("parent_near_duplicate", "parent_near_duplicate"), ("solver_rejected", "solver_matches < 2")))])})
+      SELECT * FROM checks UNION ALL SELECT 'by_source', coalesce(source, 'None'), count(DISTINCT sample_id) FROM gpt_pairs_quality GROUP BY 2""",
+    "view_manifest": f"WITH {_RLVR} SELECT 'arms.' || arm AS section, 'rows' AS name, count(*) AS value FROM rlvr_made GROUP BY arm UNION ALL SELECT 'arms.' || arm, 'synthetic', count(*) FILTER (origin = 'synthetic') FROM rlvr_made GROUP BY arm UNION ALL SELECT 'arms.' || arm || '.by_source', coalesce(source, 'None'), count(*) FROM rlvr_made WHERE arm <> 'fallback' GROUP BY arm, coalesce(source, 'None')",
+    "invalid_records": "WITH ids AS (SELECT sample_id AS id FROM gpt_pairs UNION ALL SELECT extra_info.sample_id FROM rlvr) SELECT 'repeated id' AS problem, id AS name, count(*) AS n FROM ids WHERE id IS NOT NULL GROUP BY id HAVING count(*) > 1 UNION ALL SELECT 'missing key', 'extra_info', count(*) FROM gpt_pairs UNION ALL SELECT 'missing key', 'sample_id', n FROM (SELECT count(*) FILTER (sample_id IS NULL) AS n FROM gpt_pairs) WHERE n > 0",
+    "limited_solutions": "SELECT DISTINCT sample_id FROM gpt_pairs WHERE sample_id NOT IN (SELECT sample_id FROM gpt_pairs_solved) ORDER BY sample_id LIMIT 50",
+    "appended_log": "SELECT sample_id, split, generation_index FROM gpt_pairs",
+    "view_files": f"WITH {_RLVR} SELECT arm, count(*) AS rows, count(*) FILTER (origin = 'synthetic') AS synthetic, sum(length(ground_truth))::BIGINT AS answer_chars, format FROM rlvr_made, (VALUES ('parquet'), ('jsonl'), ('export')) f(format) GROUP BY arm, format",
+    "evaluation_files": "SELECT s || ':' || n AS eval_id, question FROM (SELECT question, row_number() OVER (ORDER BY eval_id, question) - 1 AS n FROM eval_questions WHERE question IS NOT NULL), (VALUES ('math'), ('amc23')) v(s) WHERE question <> ''",
+    "artifact_digests": f"SELECT 'regions' AS name, length(content) AS bytes, sha256(content) AS sha256 FROM {_REGIONS} UNION ALL SELECT 'nations', length(content), sha256(content) FROM {_NATIONS}",
+    "snapshot_mismatches": f"SELECT 'changed' AS kind, sha256(content) AS found FROM {_REGIONS} UNION ALL SELECT 'gone', NULL",
+    "projected_pairs": "SELECT DISTINCT sample_id, split, claimed_domain FROM gpt_pairs",
+    "number_answers": "SELECT n_nationkey, CASE WHEN n_regionkey = 0 THEN '' ELSE n_regionkey::VARCHAR END AS norm, CASE WHEN n_regionkey = 1 THEN true END AS flag, n_regionkey::VARCHAR AS word_norm, CASE n_regionkey WHEN 0 THEN false WHEN 1 THEN true END AS word_flag, n_regionkey <> 0 AS same FROM nation",
     "resumed_stream": f"SELECT DISTINCT sample_id, {answer('synthetic_answer')} AS norm FROM gpt_pairs",
 }
+SQL["sheet_files"], SQL["theory_file"] = SQL["audit_sample"], SQL["regime_theory"]
+SQL["quota_shortages"] = f"SELECT * FROM ({SQL['source_quotas']}) WHERE available < quota"

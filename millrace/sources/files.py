@@ -43,9 +43,11 @@ def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFram
     return df.select(*columns)
 
 
-def write_sheet(df: DataFrame, path: str) -> None:
-    """CSV with a header, all strings quoted where needed."""
-    df.select(*(F.col(c).cast("string") for c in df.columns)).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write_sheet(df: DataFrame, path: str, mark: bool = True) -> None:
+    """CSV with a header, all strings quoted where needed; nulls are empty. ``mark``: each file begins with a byte order mark, for spreadsheets."""
+    names = [("\ufeff" if mark and i == 0 else "") + c for i, c in enumerate(df.columns)]
+    rows = df.select(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in df.columns)).toDF(*names)
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
 
 
 def read_sheet(spark: SparkSession, path: str) -> DataFrame:
@@ -89,6 +91,23 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def artifact_digests(spark: SparkSession, root: str, paths: list[str]) -> DataFrame:
+    """``name, bytes, sha256`` of those artifacts under ``root`` that exist: a file, or the files of a written folder (``name/part-...``)."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    there = [p for p in paths if (h := hadoop(f"{root}/{p}")).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(h)]
+    out = spark.createDataFrame([], "name string, bytes bigint, sha256 string")
+    for p in there:
+        found = file_digests(spark, f"{root}/{p}")
+        out = out.unionByName(found.select(F.concat(F.lit(p), F.when(F.endswith(F.col("path"), F.lit("/" + p)), "").otherwise(F.concat(F.lit("/"), F.element_at(F.split("path", "/"), -1)))).alias("name"), "bytes", "sha256"))
+    return out
+
+
+def require_digests(mismatches: DataFrame) -> None:
+    """ValueError naming some of the rows of :func:`digest_mismatches`, if there are any."""
+    if some := mismatches.orderBy("name").limit(5).collect():
+        raise ValueError("files differ or are absent: " + ", ".join(r["name"] for r in some))
+
+
 def digest_mismatches(spark: SparkSession, path: str, expected: DataFrame) -> DataFrame:
     """Rows of ``expected`` (``name``, ``sha256``) whose file under ``path`` is absent or differs."""
     have = file_digests(spark, path).select(F.element_at(F.split("path", "/"), -1).alias("name"), F.col("sha256").alias("found"))

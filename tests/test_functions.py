@@ -84,3 +84,47 @@ def test_fill_and_prompt(spark):
     wrapped = [([(f"{records.POOL_PREFIX}\n\nQ?\n\n{records.POOL_SUFFIX}",)],), ([],), (None,)]
     df = spark.createDataFrame(wrapped, "prompt array<struct<content: string>>")
     assert [r[0] for r in df.select(records.unwrapped_prompt("prompt")).collect()] == ["Q?", "", ""]
+
+
+def test_last_step_of_json_repair():
+    tolerant = lambda t: {"a": "b"} if "b}" in t else None
+    assert extract_json_object('{"a": b}', tolerant) == {"a": "b"}
+    with pytest.raises(ValueError):
+        extract_json_object('{"a": }', tolerant)
+    with pytest.raises(ValueError):
+        extract_json_object('{"a": c}', lambda t: 1 / 0)
+
+
+def test_word_boundary_after_a_command():
+    assert extract_json_object('{"a": "\\frac1"}')["a"] == "\x0crac1" and extract_json_object('{"a": "\\fracé"}')["a"] == "\x0cracé"
+
+
+def test_fields_read_by_the_engine_and_by_python(spark):
+    replies = ['{"a": "x", "b": 12, "c": true}', ' {"a":"x","b":null}\n', '{"a": 1.50}', '{"a": [1, 2]}', '{"a": "x", "a": "y"}', '{"a": "x"} {"a": "y"}', '{"a": 01}', '{"a": "\\frac{1}{2}"}', '```json\n{"a": "z"}\n```', '{"a": "tab\there"}', "{'a': 'x'}", "{}", ""]
+    got = [tuple(r) for r in spark.createDataFrame([(r,) for r in replies], "r string").select(json_fields(F.col("r"), ["a", "b", "c"]).alias("v")).select("v.ok", "v.a", "v.b", "v.c").collect()]
+    for reply, row in zip(replies, got):
+        try:
+            v = extract_json_object(reply)
+            text = lambda x: None if x is None else x if isinstance(x, str) else __import__("json").dumps(x)
+            assert row == (True, *(text(v.get(k)) for k in "abc")), reply
+        except ValueError:
+            assert row == (False, None, None, None), reply
+
+
+def test_a_zero_says_nothing(spark):
+    assert column(spark, [0, 1, 7, None], answers.normalize_answer, "int") == ["", "1", "7", ""]
+    assert column(spark, [0, 1, 2], answers.parse_bool, "bigint") == [None, True, None]
+    assert column(spark, [0.0, 1.5], answers.normalize_answer, "double") == ["", "1.5"]
+    assert column(spark, [True, False, None], answers.parse_bool, "boolean") == [True, False, None]
+    assert column(spark, ["0", "0.0"], answers.normalize_answer) == ["0", "0.0"]
+
+
+def test_other_equalities(spark):
+    def symbolic(a, b):
+        value = lambda x: __import__("fractions").Fraction(x)
+        return a.map(value) == b.map(value)
+
+    df = spark.createDataFrame([("1/2", "2/4"), ("1/2", "1/2"), ("1/3", "2/4"), (None, "1"), ("1", None)], "a string, b string")
+    assert [r[0] for r in df.select(answers.answer_matches("a", "b", symbolic)).collect()] == [True, True, False, False, False]
+    scored = df.select(answers.compute_score(F.concat(F.lit("\\boxed{"), "a", F.lit("}")), "b", symbolic))
+    assert [r[0] for r in scored.collect()] == [1.0, 1.0, 0.0, 0.0, 0.0]

@@ -93,7 +93,7 @@ def test_generation_retries_and_failures(spark):
 
         def complete(self, prompts, system, seeds):
             good = '{"problem": "P", "reference_solution": "S", "reference_answer": "1", "claimed_domain": "D", "claimed_difficulty": "E"}'
-            return [good if s % 2 else "broken" if "p0" in p else None for p, s in zip(prompts, seeds)]
+            return [good if s % 2 else "broken" if "p0" in p else "nothing" for p, s in zip(prompts, seeds)]
 
     seeds = spark.createDataFrame([(f"p{i}", "d", "e", f"p{i}") for i in range(6)], "parent_seed_id string, domain string, difficulty string, problem string")
     work = model.generation_jobs(seeds, prompts.GENERATE, "once", "v", "low", 1)
@@ -140,3 +140,124 @@ def test_failed_generations_are_asked_for_again(spark, tmp_path):
     with pytest.raises(RuntimeError, match="3/4"):
         model.gate(good, work, "generation")
     assert model.gate(good, good, "generation").count() == 3
+
+
+def _work(spark, n):
+    seeds = spark.createDataFrame([(f"p{i}", "train", "d", "e", f"problem {i}") for i in range(n)], "parent_seed_id string, split string, domain string, difficulty string, problem string")
+    return model.generation_jobs(seeds, prompts.GENERATE, "hash-stub", "v", "low", 1)
+
+
+def test_no_prompt_is_sent_twice(spark, tmp_path):
+    class Counting(model.HashProvider):
+        """Counts its calls in files, as its batches run in other processes."""
+
+        def __init__(self, folder):
+            self.folder = folder
+
+        def complete(self, prompts, system, seeds):
+            import uuid
+
+            for p in prompts:
+                (self.folder / uuid.uuid4().hex).write_text(p)
+            return super().complete(prompts, system, seeds)
+
+    good, failed = model.generate(_work(spark, 30), Counting(tmp_path), retries=0)
+    assert good.count() + failed.count() == 30 and good.count() and failed.count()
+    assert good.count() + failed.count() == 30 and len(list(tmp_path.iterdir())) == 30
+    row = failed.first()
+    assert row.error_type == "RuntimeError" and row.error and row.failed_at.endswith("+00:00") and row.split == "train"
+    made = good.first()
+    assert made.token_usage.total_tokens == made.token_usage.prompt_tokens + made.token_usage.completion_tokens and made.generation_temperature == 0.9 and made.prompt_version == "v"
+    solved, lost = model.solve(good, Counting(tmp_path), prompts.SOLVE, 2)
+    n = good.count()
+    assert solved.count() + lost.count() == n and solved.count() + lost.count() == n
+    assert len(list(tmp_path.iterdir())) == 30 + 2 * n
+
+
+def test_an_outage_is_no_wrong_answer(spark):
+    class Half:
+        name = "half"
+
+        def complete(self, prompts, system, seeds):
+            return [model.Reply(None, attempts=6, error_type="TimeoutError", error="x" * 5000) if "b" in p else "so \\boxed{1}" for p in prompts]
+
+    pairs = spark.createDataFrame([("1", "a", "1"), ("2", "b", "1")], "sample_id string, synthetic_problem string, synthetic_answer string")
+    solved, failed = model.solve(pairs, Half(), "{problem}", 3, effort="low", at=F.lit("now"))
+    s, f = solved.first(), failed.first()
+    assert (s.sample_id, s.solver_matches, s.solver_match_rate, s.solver_rollouts_k, len(s.solver_rollouts), s.solved_at) == ("1", 3, 1.0, 3, 3, "now")
+    assert s.solver_rollouts[0].prediction == "1" and s.solver_rollouts[2].rollout == 2
+    assert (f.sample_id, f.error_type, len(f.error)) == ("2", "TimeoutError", 4000) and solved.count() == failed.count() == 1
+    assert len(model.log_lines(failed).first().line) < 400
+    empty = model.solve(pairs.limit(0), Half(), "{problem}", 3)
+    assert empty[0].count() == 0 == empty[1].count()
+
+
+def test_fatal_shortages_and_invalid_records(spark):
+    have = spark.createDataFrame([("a", 3), ("b", 50)], "source string, available bigint")
+    assert sampling.require_quotas(sampling.quotas_with_transfer(have, {"a": 10, "b": 20}, "a", "b")).count() == 2
+    with pytest.raises(ValueError, match="a 3/10"):
+        sampling.require_quotas(sampling.quotas_with_transfer(have, {"a": 10, "b": 20}, "b", "a"))
+    lines = spark.createDataFrame([('{"sample_id": "x"}',), ('{"sample_id": "", "extra_info": {"sample_id": "x"}}',), ('{"sample_id": null}',), ('{"id": 1}',)], "value string")
+    found = manifest.invalid_records(lines, "value", ["sample_id"])
+    assert rows(found) == [("missing key", "sample_id", 1), ("repeated id", "x", 2)]
+    with pytest.raises(ValueError, match="repeated id x"):
+        manifest.require_valid(found)
+    manifest.require_valid(found.limit(0))
+
+
+def test_take_and_first_by(spark):
+    df = spark.createDataFrame([(f"k{i}", i) for i in range(50)], "k string, v int")
+    some = {r.k for r in sampling.take(df, "k", 7, 1).collect()}
+    assert len(some) == 7 and {r.k for r in sampling.take(df.repartition(9), "k", 7, 1).collect()} == some
+    assert sampling.take(df, "k", 0, 1).count() == 0 == sampling.take(df.limit(0), "k", 5, 1).count() and sampling.take(df, "k", 90, 1).count() == 50
+    assert [r.k for r in sampling.first_by(df, "k", 2).collect()] == ["k0", "k1"] and sampling.first_by(df, "k", 0).count() == 50
+    assert [r.v for r in sampling.canonical_order(df.where("v < 3"), ["v"]).collect()] == [0, 1, 2]
+
+
+def test_keep_least(spark):
+    df = spark.createDataFrame([(3, "a", "x"), (1, "a", "y"), (2, None, "z"), (4, None, "w"), (5, "", "v")], "i int, k string, v string")
+    assert rows(dedup.keep_least(df, F.col("k"), "i").select("i", "v")) == [(1, "y"), (2, "z"), (5, "v")]
+    assert dedup.keep_least(df.limit(0), F.col("k"), "i").count() == 0
+
+
+def test_hot_runs_meet_in_cells(spark):
+    """Near copies of one text, so that every run is hot: split or not, all pairs are found once."""
+    from millrace.operators import setjoin
+
+    import random
+
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(30)]
+    data = []
+    for i in range(120):
+        w = list(base)
+        w[rng.randrange(30)] = f"x{i}"
+        data.append((f"k{i:03d}", " ".join(w), i % 3 == 0))
+    df = spark.createDataFrame(data * 2, "key string, text string, held boolean")
+    sets = setjoin.run_sets(df, "text", ["key", "held"])
+    for cell in (5, 8192):
+        got = rows(setjoin.similar_classes(sets, 0.6, cell=cell).select("a1", "a2", "b1", "b2", "similarity"))
+        want = 0
+        sides = {}
+        for k, t, held in data:
+            w = t.split()
+            sides[k] = ({tuple(w[i : i + 5]) for i in range(26)}, held)
+        keys = sorted(sides)
+        want = sum(len(sides[a][0] & sides[b][0]) / len(sides[a][0] | sides[b][0]) >= 0.6 for i, a in enumerate(keys) for b in keys[:i])
+        assert len(got) == len(set(got)) == want > 1000
+        across = setjoin.similar_classes(sets, 0.6, "held", "not held", cell=cell).count()
+        assert across == sum(len(sides[a][0] & sides[b][0]) / len(sides[a][0] | sides[b][0]) >= 0.6 for a in keys for b in keys if sides[a][1] and not sides[b][1])
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from millrace.operators.staging import shared_dir
+
+    class Session:
+        class conf:
+            get = staticmethod(lambda name, default: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session)
