@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U, Words, chunks, signed
+from ..operators.words import U, Words, chunks, signed
 
 _BITS = 20
 

@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .near import frequency_sketch, may_match, prefix_postings, shingled, verified
-from ..operators.staging import stage
+from ..operators.setjoin import CELL, run_sets, similar_classes
 
 
-def cross_split_overlaps(records: DataFrame, threshold: float = 0.8, run: int = 5, sketch_bits: int = 20) -> tuple[DataFrame, DataFrame]:
+def cross_split_overlaps(records: DataFrame, threshold: float = 0.8, run: int = 5, sketch_bits: int | None = None, cell: int = CELL) -> tuple[DataFrame, DataFrame]:
     """Class pairs across the two sides, and the members of the classes.
 
     ``records`` has ``key`` string, ``is_train`` boolean and ``text``; other columns are ignored, so
     their names cannot clash. The join is bipartite: the rarest runs of the evaluation classes form
     the index, those of the training classes probe it, length and position filters drop what cannot
-    reach the threshold, and the overlap of the rest is counted exactly.
+    reach the threshold, and the overlap of the rest is counted exactly. A run that many classes have in
+    their prefix is met in cells of about ``cell`` postings a side.
 
     Returns ``(pairs, members)``: pairs ``a1, a2`` (class with evaluation members), ``b1, b2`` (class
     with training members) and ``similarity``, one row per pair of classes; a class with members on
@@ -26,26 +26,10 @@ def cross_split_overlaps(records: DataFrame, threshold: float = 0.8, run: int =
     with fewer than ``run`` words counts as one run. Repeated rows count once. Empty input gives empty
     results.
     """
-    records = records.select("key", "is_train", "text").where("key is not null and is_train is not null and text is not null")
-    sketch = frequency_sketch(records, "text", run, sketch_bits)
-    sets = stage(shingled(records, "text", ["key", "is_train"], sketch, run), "overlap-sets")
-    members = sets.select("key", "is_train", "c1", "c2").distinct()
-    classes = stage(
-        sets.groupBy("c1", "c2").agg(
-            F.first("n").alias("n"), F.first("runs").alias("runs"), F.max("is_train").alias("train"), F.max(~F.col("is_train")).alias("held")
-        ),
-        "overlap-classes",
-    )
-    index = prefix_postings(classes.where("held"), threshold, ["c1", "c2", "n"]).select("run", F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("n").alias("n_a"), F.col("pos").alias("pos_a"))
-    probe = prefix_postings(classes.where("train"), threshold, ["c1", "c2", "n"]).select("run", F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("n").alias("n_b"), F.col("pos").alias("pos_b"))
-    candidates = (
-        index.join(probe, "run")
-        .where(may_match(F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b"), threshold) & ((F.col("a1") != F.col("b1")) | (F.col("a2") != F.col("b2"))))
-        .select("a1", "a2", "b1", "b2")
-        .distinct()
-    )
-    same = classes.where("held and train").select(F.col("c1").alias("a1"), F.col("c2").alias("a2"), F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.lit(1.0).alias("similarity"))
-    return verified(candidates, classes, threshold).select("a1", "a2", "b1", "b2", "similarity").unionByName(same), members
+    records = records.select("key", "is_train", "text").where("key is not null and is_train is not null")
+    sets = run_sets(records, "text", ["key", "is_train"], run, name="overlap-sets")
+    found = similar_classes(sets, threshold, "not is_train", "is_train", sketch_bits, cell)
+    return found, sets.select("key", "is_train", "c1", "c2").distinct()
 
 
 def record_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:

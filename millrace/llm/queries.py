@@ -73,13 +73,18 @@ def _quality_problems(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    linked, members = pivots.near_duplicate_classes(_quality_problems(spark, sf), threshold=0.6)
-    return pivots.record_pairs(linked, members).select(F.col("a").alias("sample_a"), F.col("b").alias("sample_b"))
+    near = pivots.near_duplicates(_quality_problems(spark, sf), threshold=0.6)
+    return pivots.record_pairs(near.pairs, near.members).select(F.col("a").alias("sample_a"), F.col("b").alias("sample_b"))
 
 
 def p3_groups(spark: SparkSession, sf: str) -> DataFrame:
-    linked, members = pivots.near_duplicate_classes(_quality_problems(spark, sf), threshold=0.8)
-    return pivots.groups(linked, members).select(F.col("key").alias("sample_id"), "group_id", "copies", "links")
+    near = pivots.near_duplicates(_quality_problems(spark, sf), threshold=0.8)
+    return pivots.groups(near.pairs, near.members).select(F.col("key").alias("sample_id"), "group_id", "copies", "links")
+
+
+def p3_pruning(spark: SparkSession, sf: str) -> DataFrame:
+    """What the pivot tables discard at the threshold of p3_found."""
+    return pivots.near_duplicates(_quality_problems(spark, sf), threshold=0.6).pruning()
 
 
 # Problem 4
@@ -181,7 +186,7 @@ def p9_shared(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _ALL = [
-    p1_found, p1_sample, p1_report, p2_found, p2_report, p3_found, p3_groups, p4_found, p4_selection, p5_found,
+    p1_found, p1_sample, p1_report, p2_found, p2_report, p3_found, p3_groups, p3_pruning, p4_found, p4_selection, p5_found,
     p6_found, p6_shares, p7_found, p7_aligned, p8_found, p8_mix, p8_report, p9_found, p9_shared,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .words import U, Words, chunks, mix
+from ..operators.words import U, Words, chunks, mix
 
 FEATURES = ["run_share", "sentence_share", "line_share", "word_share", "top_share"]
 _SENTENCE = np.array([ord(c) for c in ".!?。！？\n"], np.uint32)

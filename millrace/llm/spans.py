@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.staging import stage
-from .words import U, chunks, code_points, mix, powers, prefix_hashes, signed
+from ..operators.words import U, chunks, code_points, mix, powers, prefix_hashes, signed
 
 _EMPTY = np.zeros(0, np.int64)
 

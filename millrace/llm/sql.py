@@ -49,6 +49,12 @@ SQL: dict[str, str] = {
       every AS (SELECT parent_seed_id AS key, trim(parent_seed_id, ' ') AS parent, real_problem AS text FROM numina_5k_seeds UNION ALL SELECT sample_id, trim(parent_seed_id, ' '), synthetic_problem FROM gpt_pairs),
       rec AS (SELECT DISTINCT key, text, split FROM every JOIN splits USING (parent)), {_run_sets('rec', 'key', 'text')}, near AS ({_PAIRS.format(t=0.6)}), side AS (SELECT DISTINCT key, split = 'train' AS train FROM rec)
       SELECT a AS key_a, b AS key_b FROM near JOIN side x ON x.key = a JOIN side y ON y.key = b WHERE x.train <> y.train""",
+    "p2_report": f"""WITH splits AS (SELECT trim(parent_seed_id, ' ') AS parent, min(lower(trim(split, ' '))) AS split, min(lower(trim(source, ' '))) AS source FROM numina_5k_seeds GROUP BY 1 HAVING min(lower(trim(split, ' '))) <> ''),
+      every AS (SELECT parent_seed_id AS key, trim(parent_seed_id, ' ') AS parent, real_problem AS text FROM numina_5k_seeds UNION ALL SELECT sample_id, trim(parent_seed_id, ' '), synthetic_problem FROM gpt_pairs),
+      rec AS (SELECT DISTINCT key, text, split, source FROM every JOIN splits USING (parent)), {_run_sets('rec', 'key', 'text')}, side AS (SELECT key, any_value(split) AS split, any_value(source) AS source, any_value(split) = 'train' AS train FROM rec GROUP BY key),
+      near AS (SELECT x.key AS a, count(*) / (x.n + y.n - count(*)) AS similarity FROM e x JOIN e y ON x.run = y.run JOIN side p ON p.key = x.key JOIN side q ON q.key = y.key WHERE NOT p.train AND q.train GROUP BY x.key, y.key, x.n, y.n HAVING count(*) / (x.n + y.n - count(*)) >= 0.8),
+      best AS (SELECT a AS key, max(similarity) AS best FROM near GROUP BY a)
+      SELECT split, source, count(*) AS records, count(best) AS overlapping, count(*) FILTER (best = 1) AS exact FROM s JOIN side USING (key) LEFT JOIN best USING (key) WHERE NOT train GROUP BY split, source""",
     "p3_found": f"WITH {_run_sets('gpt_pairs_quality', 'sample_id', 'synthetic_problem')} SELECT a AS sample_a, b AS sample_b FROM ({_PAIRS.format(t=0.6)})",
     "p3_groups": f"""WITH RECURSIVE {_run_sets('gpt_pairs_quality', 'sample_id', 'synthetic_problem')}, near AS MATERIALIZED ({_PAIRS.format(t=0.8)}),
       two_way AS MATERIALIZED (SELECT a, b FROM near UNION ALL SELECT b, a FROM near), reach(key, other) AS (SELECT key, key FROM s UNION SELECT r.key, b.b FROM reach r JOIN two_way b ON b.a = r.other),

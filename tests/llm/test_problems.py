@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from millrace.llm import components, epochs, leakage, mixing, overlap, pairs, pivots, proportions, repetition, spans
-from millrace.llm.words import Words
+from millrace.operators.words import Words
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -84,7 +84,7 @@ def test_cross_split_overlaps(spark):
     texts = some_texts(90)
     data = [(f"k{i:03d}", i % 3 == 0 if i % 11 else None, t, 1) for i, t in enumerate(texts)]
     df = spark.createDataFrame(data * 2, "key string, is_train boolean, text string, c1 int")
-    linked, members = overlap.cross_split_overlaps(df, threshold=0.6, sketch_bits=10)
+    linked, members = overlap.cross_split_overlaps(df, threshold=0.6, sketch_bits=14, cell=4)
     got = {(r.key_a, r.key_b) for r in overlap.record_pairs(linked, members).collect()}
     live = [d for d in data if d[1] is not None and d[2] is not None]
     want = {(a[0], b[0]) for a in live for b in live if a[0] < b[0] and a[1] != b[1] and similarity(a[2], b[2]) >= 0.6}
@@ -98,7 +98,8 @@ def test_near_duplicates_and_groups(spark, t):
     texts = some_texts(90, 5)
     data = [(f"k{i:03d}", x, "n") for i, x in enumerate(texts)]
     df = spark.createDataFrame(data * 2, "key string, text string, pivots string")
-    linked, members = pivots.near_duplicate_classes(df, t, sketch_bits=10)
+    near = pivots.near_duplicates(df, t, sketch_bits=14, cell=4)
+    linked, members = near.pairs, near.members
     got = {(r.a, r.b) for r in pivots.record_pairs(linked, members).collect()}
     want = {(a[0], b[0]) for a in data for b in data if a[0] < b[0] and similarity(a[1], b[1]) >= t}
     assert got == want and want
