@@ -19,6 +19,7 @@ from ..operators.staging import stage
 from ..operators.words import U, chunks, code_points, mix, powers, prefix_hashes, signed
 
 _EMPTY = np.zeros(0, np.int64)
+_COLLISION = "two different windows have one 128-bit hash"
 
 
 def _window_hashes(cps: np.ndarray, size: int, salt: int = 0) -> np.ndarray:
@@ -92,42 +93,66 @@ def _count_bucket(table: pa.Table, span: int) -> pa.Table:
             at, size = i + 1, 0
     cut.append(order[at:])
     for own in cut:
-        texts = [strings[k] for k in own]
-        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
-        offset = np.cumsum(sizes) - sizes
-        cps = code_points(texts)
-        per = sizes - span + 1
-        of = np.repeat(np.arange(len(own)), per)
-        within = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-        at_cp = offset[of] + within
-        h1, h2 = _window_hashes(cps, span)[at_cp], _window_hashes(cps, span, 1 << 21)[at_cp]
+        cps, of, within, at_cp, h1, h2 = _windows([strings[k] for k in own], span)
         owner, start = rep[own][of], begin[own][of] + within
         by, shared, group = _marked(h1, h2, owner)
         by, group = by[shared], group[shared]
-        # equal hashes must be equal strings; each window is compared with the next of its run
-        for lo in range(0, max(0, len(by) - 1), 1 << 14):
-            x, y = by[lo : lo + (1 << 14)], by[lo + 1 : lo + (1 << 14) + 1]
-            same = group[lo : lo + len(y)] == group[lo + 1 : lo + 1 + len(y)]
-            x, y = x[: len(y)][same], y[same]
-            step = np.arange(span)
-            if not np.array_equal(cps[at_cp[x][:, None] + step], cps[at_cp[y][:, None] + step]):
-                raise RuntimeError("two different windows have one 128-bit hash")
+        _must_be_equal(cps, at_cp[by], group, span)
         out.append((owner[by], start[by]))
     owner, first, last = _spans(np.concatenate([o for o, _ in out]), np.concatenate([s for _, s in out]))
     return pa.table({"rep": pa.array(owner, pa.int64()), "lo": pa.array(first, pa.int64()), "hi": pa.array(last + span, pa.int64())})
 
 
-def shared_spans(documents: DataFrame, span: int = 200, seed: int = 64, hot: int = 20_000, bucket_rows: int = 20_000) -> DataFrame:
+def _must_be_equal(cps: np.ndarray, at: np.ndarray, group: np.ndarray, span: int) -> None:
+    """Windows at ``at``, ordered by hash, with equal ``group`` must be equal strings; each is compared with the next."""
+    for lo in range(0, max(0, len(at) - 1), 1 << 14):
+        x, y = at[lo : lo + (1 << 14)], at[lo + 1 : lo + (1 << 14) + 1]
+        same = group[lo : lo + len(y)] == group[lo + 1 : lo + 1 + len(y)]
+        x, y = x[: len(y)][same], y[same]
+        step = np.arange(span)
+        if not np.array_equal(cps[x[:, None] + step], cps[y[:, None] + step]):
+            raise RuntimeError(_COLLISION)
+
+
+def _covered(found: DataFrame) -> DataFrame:
+    """``doc_id, sum, longest`` of the union of the intervals ``rep, lo, hi`` of each document, as they stream by in order."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None
+        held: tuple[list[int], list[int], list[int]] = ([], [], [])
+        end = total = longest = begin = 0
+        for b in batches:
+            for rep, lo, hi in zip(*(b.column(i).to_pylist() for i in range(3))):
+                if rep != own:
+                    if own is not None:
+                        for to, v in zip(held, (own, total, max(longest, end - begin))):
+                            to.append(v)
+                    own, begin, end, total, longest = rep, lo, hi, hi - lo, 0
+                elif lo > end:
+                    longest, begin, total, end = max(longest, end - begin), lo, total + hi - lo, hi
+                elif hi > end:
+                    total, end = total + hi - end, hi
+            if held[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in held], names=["doc_id", "sum", "longest"])
+                held = ([], [], [])
+        if own is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (own, total, max(longest, end - begin))], names=["doc_id", "sum", "longest"])
+
+    return found.select("rep", "lo", "hi").repartition("rep").sortWithinPartitions("rep", "lo").mapInArrow(walk, "doc_id bigint, sum bigint, longest bigint")
+
+
+def shared_spans(documents: DataFrame, span: int = 200, seed: int = 64, hot: int = 20_000, bucket_rows: int = 20_000, salts: int = 32) -> DataFrame:
     """``doc_id, n_chars, shared_chars, longest`` of each document: characters that lie in a span of at least
     ``span`` characters which occurs, character for character, in another document too.
 
     ``documents`` has ``doc_id`` (bigint, unique) and ``text``; other columns are ignored. Documents
     with one text are taken together first: of ``span`` characters or more, they are shared whole. Of the
     rest one document per text goes on. A minimiser met in one text only cannot belong to a shared
-    window, so only super-k-mers of minimisers met in two texts or more are packed and sent; their
-    buckets are sorted and counted exactly. Minimisers with more than ``hot`` super-k-mers (boilerplate
-    in a large part of all documents) do not go to one task: their windows are counted by 128-bit hash,
-    combined before the shuffle, and salted on the way back.
+    window, so only super-k-mers of minimisers met in two texts or more are packed and sent; in their
+    buckets windows are sorted and counted, and those of one hash compared character by character.
+    Minimisers with more than ``hot`` super-k-mers (boilerplate in a large part of all documents) do not go to
+    one task: their windows are counted by hash, combined before the shuffle and salted on the way back,
+    and then compared character by character just the same.
 
     Null ids are left out; null, empty and short texts have nothing shared. A span that occurs twice in
     one document only is not shared. An empty table gives an empty result.
@@ -148,60 +173,95 @@ def shared_spans(documents: DataFrame, span: int = 200, seed: int = 64, hot: int
 
     ddl = "doc_id bigint, d1 bigint, d2 bigint, n_chars int, minimisers array<bigint>, first array<int>, windows array<int>"
     cuts = stage(docs.mapInArrow(cut, ddl), "span-cuts")
-    texts = stage(
-        cuts.groupBy("d1", "d2", "n_chars").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "span-texts"
-    )
-    reps = cuts.where(f"n_chars >= {span}").join(texts.where(f"n_chars >= {span}").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    pieces = reps.select(F.col("doc_id").alias("rep"), F.inline(F.arrays_zip("minimisers", "first", "windows")).alias("minimiser", "first", "windows"))
-    common = pieces.groupBy("minimiser").agg(F.count("*").alias("met"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("minimiser", "met")
-    wanted = pieces.join(common, "minimiser").groupBy("rep").agg(F.collect_list(F.struct("minimiser", "first", "windows", "met")).alias("wanted"))
+    salt = lambda c: F.pmod(F.xxhash64(c), F.lit(salts)).cast("int").alias("salt")
+    long = cuts.where(f"n_chars >= {span}")
+    texts = stage(long.groupBy("d1", "d2", "n_chars").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies")), "span-texts")
+    # a text with a large part of all documents is one key, so its copies find it under their own salts
+    repeated = texts.where("copies > 1").select("d1", "d2", "n_chars", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    whole = long.select("doc_id", "d1", "d2", "n_chars", salt("doc_id")).join(repeated, ["d1", "d2", "n_chars", "salt"])
+    whole = whole.select("doc_id", F.col("n_chars").cast("bigint").alias("sum"), F.col("n_chars").cast("bigint").alias("longest"))
+
+    reps = long.join(texts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    pieces = reps.select(F.col("doc_id").alias("rep"), F.inline(F.arrays_zip("minimisers", "first", "windows")).alias("minimiser", "first", "windows"), salt("doc_id"))
+    # counts by salt, so that a minimiser with a large part of all pieces is joined in as many parts; a rare one has few salts
+    parts = stage(pieces.groupBy("minimiser", "salt").agg(F.count("*").alias("met"), F.min("rep").alias("lo"), F.max("rep").alias("hi")), "span-minimisers")
+    common = parts.groupBy("minimiser").agg(F.sum("met").alias("met"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("minimiser", "met")
+    wanted = pieces.join(parts.select("minimiser", "salt").join(common, "minimiser"), ["minimiser", "salt"])
+    wanted = wanted.groupBy("rep").agg(F.collect_list(F.struct("minimiser", "first", "windows", "met")).alias("wanted"))  # of one document, fewer than its characters
     sent = docs.join(wanted, F.col("doc_id") == F.col("rep")).select("rep", F.inline("wanted"), "text")
     packed = F.col("text").substr(F.col("first") + 1, F.col("windows") + (span - 1))
     packed = stage(sent.select("rep", "minimiser", "first", "met", packed.alias("packed")), "span-packed")
+
     rows = packed.where(f"met <= {hot}")
     buckets = max(1, -(-rows.count() // bucket_rows))
-    normal = rows.groupBy(F.pmod(F.xxhash64("minimiser"), F.lit(buckets)).alias("bucket")).applyInArrow(lambda t: _count_bucket(t, span), "rep bigint, lo bigint, hi bigint")
-    found = normal.unionByName(_hot_spans(packed.where(f"met > {hot}"), span))
-    joined = found.groupBy("rep").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("parts"))
-    # walk the sorted parts: (end of the union so far, its length, its longest stretch, where the present stretch began)
-    start = F.struct(*(F.lit(v).cast("bigint").alias(n) for n, v in (("end", -1), ("sum", 0), ("longest", 0), ("from", 0))))
-    step = lambda s, x: F.struct(
-        F.greatest(s["end"], x["hi"]).alias("end"),
-        (s["sum"] + F.greatest(F.lit(0), x["hi"] - F.greatest(s["end"], x["lo"]))).alias("sum"),
-        F.greatest(s["longest"], F.greatest(s["end"], x["hi"]) - F.when(x["lo"] <= s["end"], s["from"]).otherwise(x["lo"])).alias("longest"),
-        F.when(x["lo"] <= s["end"], s["from"]).otherwise(x["lo"]).alias("from"),
-    )
-    covered = joined.select("rep", F.aggregate("parts", start, step).alias("u")).select("rep", F.col("u.sum").alias("sum"), F.col("u.longest").alias("longest"))
-    by_text = texts.join(covered, "rep", "left")
-    whole = (F.col("copies") > 1) & (F.col("n_chars") >= span)
-    by_text = by_text.select(
-        "d1", "d2", "n_chars",
-        F.when(whole, F.col("n_chars").cast("bigint")).otherwise(F.coalesce("sum", F.lit(0))).alias("shared_chars"),
-        F.when(whole, F.col("n_chars").cast("bigint")).otherwise(F.coalesce("longest", F.lit(0))).alias("longest"),
-    )
-    return cuts.select("doc_id", "d1", "d2", "n_chars").join(by_text, ["d1", "d2", "n_chars"]).select("doc_id", "n_chars", "shared_chars", "longest")
-
-
-def _hot_spans(packed: DataFrame, span: int, salts: int = 32) -> DataFrame:
-    """``rep, lo, hi`` of shared windows of hot minimisers, by window hash; no task gets all of one minimiser."""
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    found = rows.groupBy(F.pmod(F.xxhash64("minimiser"), F.lit(buckets)).alias("bucket")).applyInArrow(lambda t: _count_bucket(t, span), "rep bigint, lo bigint, hi bigint")
+    often = packed.where(f"met > {hot}")
+    if not often.isEmpty():
+        found = found.unionByName(_hot_spans(often, span, salts))
+    each = _covered(found).unionByName(whole).groupBy("doc_id").agg(F.max("sum").alias("sum"), F.max("longest").alias("longest"))
+    return cuts.select("doc_id", "n_chars").join(each, "doc_id", "left").select("doc_id", "n_chars", F.coalesce("sum", F.lit(0).cast("bigint")).alias("shared_chars"), F.coalesce("longest", F.lit(0).cast("bigint")).alias("longest"))
+
+
+def _windows(packed: list[str], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(code points, string, window within it, place, two hashes) of all windows of some strings."""
+    sizes = np.fromiter(map(len, packed), np.int64, len(packed))
+    per = sizes - span + 1
+    cps = code_points(packed)
+    of = np.repeat(np.arange(len(packed)), per)
+    within = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
+    at = (np.cumsum(sizes) - sizes)[of] + within
+    return cps, of, within, at, _window_hashes(cps, span)[at], _window_hashes(cps, span, 1 << 21)[at]
+
+
+def _hot_spans(packed: DataFrame, span: int, salts: int) -> DataFrame:
+    """``rep, lo, hi`` of shared stretches of hot minimisers' super-k-mers; no task gets all of one minimiser.
+
+    Windows are counted by hash; of those that two documents have, the super-k-mers are read again: their
+    windows are joined to stretches, and one string of each hash goes out of each batch (in which those of one
+    hash were compared), so that all strings of a hash are compared with each other.
+    """
+
+    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first, part in chunks(b.column(2).to_pylist()):
-                sizes = np.fromiter(map(len, part), np.int64, len(part))
-                per = sizes - span + 1
-                cps = code_points(part)
-                of = np.repeat(np.arange(len(part)), per)
-                within = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-                at = (np.cumsum(sizes) - sizes)[of] + within
-                rep, begin = np.asarray(b.column(0))[first : first + len(part)], np.asarray(b.column(1))[first : first + len(part)]
+                _, of, within, _, h1, h2 = _windows(part, span)
+                rep, begin = (np.asarray(b.column(i))[first : first + len(part)] for i in (0, 1))
+                yield pa.RecordBatch.from_arrays([pa.array(rep[of]), pa.array(begin[of], pa.int32()), pa.array(within, pa.int32()), pa.array(signed(h1)), pa.array(signed(h2))], names=["rep", "first", "at", "h1", "h2"])
+
+    each = packed.select("rep", "first", "packed").mapInArrow(hashes, "rep bigint, first int, at int, h1 bigint, h2 bigint")
+    each = stage(each.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")), "span-windows")
+    parts = stage(each.groupBy("h1", "h2", "salt").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")), "span-window-parts")
+    shared = parts.groupBy("h1", "h2").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("h1", "h2")
+    marked = each.join(parts.select("h1", "h2", "salt").join(shared, ["h1", "h2"]), ["h1", "h2", "salt"])
+    marked = marked.groupBy("rep", "first").agg(F.collect_list("at").alias("at"))  # of one super-k-mer, fewer than its minimiser has places
+
+    def stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 2048):
+                part = b.slice(lo, 2048)
+                rep, begin = (np.asarray(part.column(i)) for i in (0, 1))
+                cps, of, within, place, h1, h2 = _windows(part.column(2).to_pylist(), span)
+                wanted = part.column(3)
+                ends = np.asarray(wanted.offsets)
+                sizes = np.bincount(of, minlength=part.num_rows)
+                own = np.repeat((np.cumsum(sizes) - sizes), np.diff(ends)) + np.asarray(wanted.values)[ends[0] : ends[-1]]
+                own = own[np.lexsort((h2[own], h1[own]))]
+                new = np.concatenate(([True], (h1[own][1:] != h1[own][:-1]) | (h2[own][1:] != h2[own][:-1])))
+                _must_be_equal(cps, place[own], np.cumsum(new), span)
+                one = own[new]
+                text = [cps[p : p + span].tobytes().decode("utf-32-le", "surrogatepass") for p in place[one]]
+                owner, first, last = _spans(of[own], within[own])
+                n, m = len(owner), len(one)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(rep[of]), pa.array(begin[of] + within, pa.int64()), pa.array(signed(_window_hashes(cps, span)[at])), pa.array(signed(_window_hashes(cps, span, 1 << 21)[at]))],
-                    names=["rep", "start", "h1", "h2"],
+                    [
+                        pa.array(np.concatenate((rep[owner], np.zeros(m, np.int64)))), pa.array(np.concatenate((begin[owner] + first, np.zeros(m, np.int64)))), pa.array(np.concatenate((begin[owner] + last + span, np.zeros(m, np.int64)))),
+                        pa.array(np.concatenate((np.zeros(n, np.int64), signed(h1[one])))), pa.array(np.concatenate((np.zeros(n, np.int64), signed(h2[one])))), pa.array([None] * n + text, pa.string()),
+                    ],
+                    names=["rep", "lo", "hi", "h1", "h2", "window"],
                 )
 
-    each = packed.select("rep", "first", "packed").mapInArrow(windows, "rep bigint, start bigint, h1 bigint, h2 bigint")
-    shared = each.groupBy("h1", "h2").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("h1", "h2")
-    copies = shared.select("h1", "h2", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    marked = each.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")).join(copies, ["h1", "h2", "salt"])
-    return marked.select("rep", F.col("start").alias("lo"), (F.col("start") + span).alias("hi"))
+    read = packed.join(marked, ["rep", "first"]).select("rep", "first", "packed", "at").mapInArrow(stretches, "rep bigint, lo bigint, hi bigint, h1 bigint, h2 bigint, window string")
+    read = stage(read, "span-hot")
+    if not read.where("window is not null").groupBy("h1", "h2").agg(F.min("window").alias("x"), F.max("window").alias("y")).where("x != y").isEmpty():
+        raise RuntimeError(_COLLISION)
+    return read.where("window is null").select("rep", "lo", "hi")
