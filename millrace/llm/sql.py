@@ -69,6 +69,7 @@ SQL: dict[str, str] = {
       runs AS (SELECT eval_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' '))) AS run FROM qs), d AS (SELECT doc_id, {words('text')} AS w FROM documents WHERE text IS NOT NULL),
       sizes AS (SELECT DISTINCT n FROM qs), g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' '))) AS run FROM d, sizes)
       SELECT DISTINCT doc_id, eval_id FROM g JOIN runs USING (run)""",
+    "p8_found": "WITH d AS (SELECT lower(trim(source, ' ')) AS source, sum(length(text)) AS size FROM documents GROUP BY 1), t AS (SELECT DISTINCT * FROM mix_targets) SELECT t.source FROM t LEFT JOIN d ON d.source = lower(trim(t.source, ' ')) WHERE coalesce(max_repeats, 1) * coalesce(size, 0) < target_share * (SELECT sum(length(text)) FROM documents)",
     "p9_shared": """WITH d AS (SELECT doc_id, text, coalesce(length(text), 0) AS n FROM documents), g AS (SELECT doc_id, i, md5(substr(text, i, 200)) AS h FROM d, (SELECT unnest(range(1, (SELECT max(n) FROM d))) AS i) WHERE n >= 200 AND i <= n - 199),
       c AS (SELECT h FROM g GROUP BY h HAVING min(doc_id) <> max(doc_id)), w AS (SELECT doc_id, i FROM g SEMI JOIN c USING (h)),
       m AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS head FROM w), k AS (SELECT *, sum(head) OVER (PARTITION BY doc_id ORDER BY i) AS part FROM m),

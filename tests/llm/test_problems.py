@@ -367,6 +367,46 @@ def test_mixing(spark):
     assert mix.count() == 0 and report.count() == 4
 
 
+def test_shares_of_the_mix_are_within_their_bound(spark):
+    rng = random.Random(18)
+    names = [f"s{i:02d}" for i in range(25)]
+    docs = [(i, rng.choice(names + names[:3] * 6), " ".join("word" for _ in range(rng.randrange(1, 40)))) for i in range(6000)]
+    df = spark.createDataFrame(docs, "doc_id bigint, source string, text string")
+    weight = [rng.random() for _ in names]
+    targets = spark.createDataFrame([(s, w / sum(weight), rng.randrange(1, 9)) for s, w in zip(names, weight)], "source string, target_share double, max_repeats int")
+    total, block = 60_000, 500
+    mix, report = mixing.mix_sources(df, targets, total_tokens=total, block_tokens=block)
+    n = total // block
+    slack = 3 + 1.5 * np.log2(n + 2)
+    rows = report.collect()
+    full = [r for r in rows if r.blocks >= r.slots]
+    assert len(full) > 5 and sum(r.slots for r in rows) == n and any(r.blocks < r.slots for r in rows)
+    for r in rows:
+        assert abs(r.slots - r.target_share * n) <= slack
+        assert abs(r.actual_tokens - min(r.slots * block, r.capacity_tokens)) <= block + 40
+    counts = {(r.source, r.doc_id): r["count"] for r in mix.groupBy("source", "doc_id").count().collect()}
+    most = {r.source: r.max_repeats for r in rows}
+    assert all(c <= most[s] for (s, _), c in counts.items())
+
+
+def test_targets_that_name_one_source(spark):
+    df = spark.createDataFrame([(i, "a ", "some words here", 5) for i in range(50)], "doc_id bigint, source string, text string, rank int")
+    targets = spark.createDataFrame([("A", 0.5, 1), ("a", 0.5, 1), (None, 0.2, 1), ("b", 0.0, None)], "source string, target_share double, max_repeats int")
+    mix, report = mixing.mix_sources(df, targets, block_tokens=7)
+    assert mix.count() == 50 == mix.select("doc_id").distinct().count()
+    assert sorted((r.source, r.target_share, r.short) for r in report.collect()) == [("A", 1.0, False), ("b", 0.0, False)]
+
+
+def test_golden_points_keep_to_the_slack(spark):
+    w = spark.createDataFrame([(f"k{i:03d}", float(1 + i % 7)) for i in range(60)], "_key string, weight double")
+    for n in (1, 50, 5000):
+        got = {r._key: r["count"] for r in mixing.schedule(w, n).groupBy("_key").count().collect()}
+        assert sum(got.values()) == n
+        total = sum(1 + i % 7 for i in range(60))
+        assert all(abs(got.get(f"k{i:03d}", 0) - n * (1 + i % 7) / total) <= 3 + 1.5 * np.log2(n + 2) for i in range(60))
+    assert mixing.schedule(w.limit(0), 5).count() == 0 and mixing.schedule(w.withColumn("weight", F.lit(0.0)), 5).count() == 0
+
+
 @pytest.mark.parametrize("hot", [20_000, 0])
 def test_shared_spans(spark, hot):
     rng = random.Random(9)
