@@ -27,18 +27,19 @@ def first_seen(records: DataFrame) -> DataFrame:
     return records.where("id is not null").groupBy("id").agg(F.min("epoch").alias("epoch"))
 
 
-def register(state: DataFrame, arrivals: DataFrame, rate: Column | float) -> DataFrame:
+def register(state: DataFrame | None, arrivals: DataFrame, rate: Column | float) -> DataFrame:
     """The state after ``arrivals``: known ids keep their epoch and frozen rate, new ones get theirs now.
 
     ``state`` has ``id, epoch, rate``, ``arrivals`` has ``id, epoch``. Later arrivals with an earlier epoch
-    change nothing for a known id. Null ids are left out; a null rate selects nothing.
+    change nothing for a known id. Null ids are left out; a null rate selects nothing. Without a state all are new.
     """
-    return state.select("id", "epoch", "rate").unionByName(_new(state, arrivals, rate))
+    return _new(state, arrivals, rate) if state is None else state.select("id", "epoch", "rate").unionByName(_new(state, arrivals, rate))
 
 
-def _new(state: DataFrame, arrivals: DataFrame, rate: Column | float) -> DataFrame:
+def _new(state: DataFrame | None, arrivals: DataFrame, rate: Column | float) -> DataFrame:
     rate = rate if isinstance(rate, Column) else F.lit(float(rate))
-    return first_seen(arrivals).join(state.select("id"), "id", "left_anti").withColumn("rate", rate.cast("double"))
+    seen = first_seen(arrivals)
+    return (seen if state is None else seen.join(state.select("id"), "id", "left_anti")).withColumn("rate", rate.cast("double"))
 
 
 def register_kept(arrivals: DataFrame, rate: Column | float, name: str) -> DataFrame:
@@ -70,11 +71,14 @@ def select(state: DataFrame, seed: int = 7) -> DataFrame:
 def broken_nesting(observations: DataFrame) -> DataFrame:
     """``id, lowest_in, highest_out`` of ids that no fixed draw can explain.
 
-    ``observations`` has ``id``, ``rate`` and ``selected``: at a rate the id was in or out of a sample.
-    By a fixed draw an id is in exactly at the rates above its draw, so one that was in at some rate
-    and out at a higher one breaks the rule. Null ids and flags and null, negative and NaN rates don't
-    count; repeated rows count once; being in and out at the same rate is not a break.
+    ``observations`` has ``id``, ``rate`` and ``selected``: at a rate the id was in or out of a sample. The
+    observations are replayed as epochs, one for each rate, in ascending order: an id is registered at the
+    first rate at which it was in, which is its epoch and its frozen rate. Its draw lies below that rate, so it
+    must be in at each higher one; one that was out at a higher rate breaks the rule. Null ids and flags and
+    null, negative and NaN rates don't count; repeated rows count once; being in and out at the same rate is
+    not a break.
     """
     good = observations.where("id is not null and selected is not null and rate >= 0 and not isnan(rate)")
-    ends = good.groupBy("id").agg(F.min(F.when(F.col("selected"), F.col("rate"))).alias("lowest_in"), F.max(F.when(~F.col("selected"), F.col("rate"))).alias("highest_out"))
-    return ends.where("lowest_in < highest_out")
+    state = register(None, good.where("selected").select("id", F.col("rate").alias("epoch")), F.col("epoch"))
+    out = good.where("not selected").groupBy("id").agg(F.max("rate").alias("highest_out"))
+    return state.join(out, "id").where("rate < highest_out").select("id", F.col("rate").alias("lowest_in"), "highest_out")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranks import hash_bucket, permuted, ranked
+from ..operators.staging import stage
 
 
 def allocate(leaves: DataFrame, levels: list[str]) -> DataFrame:
@@ -14,7 +15,8 @@ def allocate(leaves: DataFrame, levels: list[str]) -> DataFrame:
     A leaf first fills its own quota. From the leaves' parents up to the root, what a node's leaves
     could not fill goes to those of them with rows to spare, in proportion to what they can spare,
     so siblings come before cousins. Integer parts come from differences of running floors, so no leaf
-    gets more than it has and nothing is lost to rounding. Works on one row per category only.
+    gets more than it has and nothing is lost to rounding. Works on one row per category only; at the root
+    all categories are in one task.
     """
     out = leaves.withColumn("drawn", F.least("quota", "available")).withColumn("unmet", F.col("quota") - F.col("drawn"))
     part = "cast({g} as decimal(19,0)) * cast({c} as decimal(19,0)) div cast(greatest({s}, 1) as decimal(19,0))"
@@ -41,9 +43,9 @@ def sample_to_targets(records: DataFrame, targets: DataFrame, levels: list[str],
     see :func:`allocate` for quotas that cannot be met. At the leaves the records with the lowest
     permuted dense ranks are drawn, so the draw does not depend on order or partitioning.
 
-    report: one row per target category as written there, with ``quota``, ``available``, ``drawn``,
-    ``short`` (quota less available, 0 at least) and ``unmet`` (its part of what no category could
-    replace). sample: ``id``, the normalised ``levels`` and ``rank``.
+    sample: ``id``, the normalised ``levels`` and ``rank``, a written table. report: one row per target category
+    as written there, with ``quota``, ``available``, and, counted from the sample, ``drawn`` and ``short`` (the
+    quota less the records drawn for it), and ``unmet`` (its part of what no category could replace).
 
     Repeated rows of an id count once; an id in several target categories belongs to the first by
     name. Null ids, null categories and categories without a target are not drawn. Null shares and
@@ -58,6 +60,13 @@ def sample_to_targets(records: DataFrame, targets: DataFrame, levels: list[str],
     leaves = goals.withColumn("quota", quota).join(have, levels, "left").fillna(0, ["available"])
     plan = allocate(leaves, levels)
     order = wanted.withColumn("_order", permuted(seed, "id"))
-    drawn = ranked(order, levels, hash_bucket("_order"), ["_order", "id"]).join(plan.select(*levels, F.col("drawn").alias("_drawn")), levels).where("rank < _drawn").select("id", *levels, "rank")
-    report = plan.select(*(F.col(f"_as_{c}").alias(c) for c in levels), "target_share", "min_rows", "quota", "available", "drawn", F.greatest(F.col("quota") - F.col("available"), F.lit(0)).alias("short"), "unmet")
-    return drawn, report
+    plan = stage(plan, "allocation")
+    goal = plan.groupBy(*levels).agg(F.max("drawn").alias("_drawn"))  # targets may name a category twice
+    sample = ranked(order, levels, hash_bucket("_order"), ["_order", "id"]).join(goal, levels).where("rank < _drawn").select("id", *levels, "rank")
+    sample = stage(sample, "sample")
+    counts = sample.groupBy(*levels).agg(F.count("*").alias("_got"))
+    got = F.coalesce("_got", F.lit(0))
+    report = plan.drop("drawn").join(counts, levels, "left").select(
+        *(F.col(f"_as_{c}").alias(c) for c in levels), "target_share", "min_rows", "quota", "available", got.alias("drawn"), F.greatest(F.col("quota") - got, F.lit(0)).alias("short"), "unmet"
+    )
+    return sample, report

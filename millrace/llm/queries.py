@@ -89,7 +89,7 @@ def p3_pruning(spark: SparkSession, sf: str) -> DataFrame:
 
 # Problem 4
 
-#: Share of new parents taken in each month of generation, and of those without a time.
+#: Share of new parents taken in each month of generation, and in any other or without a time.
 EPOCH_RATES, OTHER_RATE = {"2026-01": 0.5, "2026-02": 0.4, "2026-03": 0.3}, 0.2
 
 
@@ -101,14 +101,18 @@ def p4_found(spark: SparkSession, sf: str) -> DataFrame:
     return epochs.broken_nesting(seen).select(F.col("id").alias("parent_seed_id"))
 
 
-def p4_selection(spark: SparkSession, sf: str) -> DataFrame:
-    """Each run registers what has come to the table since the last; the state is kept for each table's path."""
+def p4_selection(spark: SparkSession, sf: str, rates: dict[str, float] = EPOCH_RATES, other: float = OTHER_RATE) -> DataFrame:
+    """The table's selected parents. Each run registers what has come to it since the last; the state is kept for each table's path.
+
+    The rates are those of this run: they count for parents it registers, known ones keep theirs.
+    """
     parents = table(spark, sf, "gpt_pairs").select(F.trim("parent_seed_id").alias("id"), F.substring("generated_at", 1, 7).alias("epoch"))
-    rate = F.lit(OTHER_RATE)
-    for month, share in EPOCH_RATES.items():
+    rate = F.lit(other)
+    for month, share in rates.items():
         rate = F.when(F.col("epoch") == month, share).otherwise(rate)
     state = epochs.register_kept(parents, rate, f"p4-{hashlib.sha256(sf.rstrip('/').encode()).hexdigest()[:16]}")
-    return epochs.select(state).where("selected").select(F.col("id").alias("parent_seed_id"), "epoch", "rate")
+    chosen = epochs.select(state).where("selected").join(parents.select("id").distinct(), "id", "left_semi")
+    return chosen.select(F.col("id").alias("parent_seed_id"), "epoch", "rate")
 
 
 # Problem 5

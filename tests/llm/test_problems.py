@@ -150,6 +150,24 @@ def test_late_older_rows_change_no_member(spark, tmp_path):
     assert {v for k, v in two.items() if int(k[1:]) >= 200} == {("2025-12", 0.2)}
 
 
+def test_rates_of_known_parents_are_frozen(spark, tmp_path):
+    from millrace.llm.queries import p4_selection
+
+    def arrive(rows, partitions, **rates):
+        spark.createDataFrame(rows, "parent_seed_id string, generated_at string").repartition(partitions).write.mode("append").parquet(f"{tmp_path}/gpt_pairs.parquet")
+        return {r.parent_seed_id for r in p4_selection(spark, str(tmp_path), **rates).collect()}
+
+    seen = [set()]
+    for k, month in enumerate(["2026-02", "2026-03", "2025-11", "2026-01", None]):
+        rows = [(f"p{i}", month and f"{month}-0{1 + i % 9}") for i in range(60 * k, 60 * k + 90)] + [(f"p{i}", "2025-01-01") for i in range(60 * k)]
+        seen.append(arrive(rows, 1 + k, rates={"2026-01": 0.9 - k / 10, "2026-02": 0.5, "2026-03": 0.3}, other=k / 10))
+        assert seen[-2] <= seen[-1]
+    assert len(seen[-1]) > len(seen[1]) > 0
+    other = tmp_path / "other"
+    spark.createDataFrame([("q", "2026-01-01")], "parent_seed_id string, generated_at string").write.parquet(f"{other}/gpt_pairs.parquet")
+    assert {r.parent_seed_id for r in p4_selection(spark, str(other), {}, 1.0).collect()} == {"q"}
+
+
 def test_broken_nesting(spark):
     nan = float("nan")
     data = [("a", 0.25, True), ("a", 0.5, False), ("b", 0.5, True), ("b", 0.25, False), ("c", 0.5, True), ("c", 0.5, False), ("d", -1.0, True), ("d", 1.0, False), ("e", None, True), ("e", 1.0, False), ("f", 0.1, True), ("f", nan, False), (None, 0.1, True)]
