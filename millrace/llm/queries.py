@@ -141,7 +141,17 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p6_shares(spark: SparkSession, sf: str) -> DataFrame:
     rows = repetition.repeated_content(_repetition_texts(spark, sf), share=0.4, least_words=20)
-    return rows.select(F.col("key").alias("sample_id"), "field_name", "words", "run_share", "sentence_share", "line_share", "path", "anomalous").distinct()
+    return rows.select(F.col("key").alias("sample_id"), "field_name", "words", "run_share", "sentence_share", "line_share").distinct()
+
+
+def p6_anomalies(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that the forest, by the calibrated threshold, calls anomalous."""
+    rows = repetition.repeated_content(_repetition_texts(spark, sf), share=0.4, least_words=20)
+    return rows.where("anomalous").select(F.col("key").alias("sample_id"), "field_name", "path", "run_share").distinct()
+
+
+def p6_calibration(spark: SparkSession, sf: str) -> DataFrame:
+    return repetition.calibration(repetition.repeated_content(_repetition_texts(spark, sf), share=0.4, least_words=20))
 
 
 # Problem 7
@@ -152,7 +162,7 @@ def _leaks(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return _leaks(spark, sf).where("run >= least(12, words)").select("doc_id", "eval_id")
+    return _leaks(spark, sf).where("score * words >= least(12, words) - 1e-9").where("run >= least(12, words)").select("doc_id", "eval_id")
 
 
 def p7_aligned(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,7 +201,7 @@ def p9_shared(spark: SparkSession, sf: str) -> DataFrame:
 
 _ALL = [
     p1_found, p1_sample, p1_report, p2_found, p2_report, p3_found, p3_groups, p3_pruning, p4_found, p4_selection, p5_found,
-    p6_found, p6_shares, p7_found, p7_aligned, p8_found, p8_mix, p8_report, p9_found, p9_shared,
+    p6_found, p6_shares, p6_anomalies, p6_calibration, p7_found, p7_aligned, p8_found, p8_mix, p8_report, p9_found, p9_shared,
 ]
 QUERIES = {f.__name__: f for f in _ALL}
 

@@ -135,16 +135,21 @@ class Forest:
         return total / max(1, len(self.trees))
 
 
-
-
 def fit_forest(texts: DataFrame, share: float, least_words: int, run: int, trees: int, subsample: int, labelled_rows: int, seed: int) -> tuple[Forest, float, float]:
     """(forest, calibrated path, certain path), fitted on the ``labelled_rows`` rows with the smallest keyed hash.
 
-    The sample's bound is a parameter; it does not grow with the input. A row's label is whether
+    The sample's bound is a parameter; it does not grow with the input, and only its statistics leave the executors. A row's label is whether
     its share of repeated runs reaches ``share``. The calibrated path is the longest path of a row so
     labelled; the certain path is the longest that any row with that share can have in these trees,
     so a row above it cannot reach the share.
     """
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for _, part in chunks(b.column(0).to_pylist()):
+                counts, x = statistics(part, run)
+                yield pa.RecordBatch.from_arrays([pa.array(counts.astype(np.int32)), pa.FixedSizeListArray.from_arrays(pa.array(x.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))], names=["words", "x"])
+
     texts = texts.where("text is not null")
     rank = F.xxhash64(F.lit(seed), "key", "field_name")
     total = texts.count()
@@ -152,13 +157,13 @@ def fit_forest(texts: DataFrame, share: float, least_words: int, run: int, trees
     while True:
         # about twice the bound is left, repeated rows once; then the lowest are taken
         low = texts.where(rank < F.lit(int(share_read * 2**64) - 2**63)) if share_read < 1 else texts
-        rows = [r["text"] for r in low.select(rank.alias("rank"), "text").distinct().orderBy("rank", "text").limit(labelled_rows).select("text").collect()]
+        lowest = low.select(rank.alias("rank"), "text").distinct().orderBy("rank", "text").limit(labelled_rows)
+        rows = lowest.select("text").mapInArrow(measure, "words int, x array<double>").collect()  # numbers only, of the stated bound
         if share_read >= 1 or len(rows) >= labelled_rows:
             break
         share_read *= 8  # rows repeat, so that fewer than the bound are under the cut
-    parts = [statistics(part, run) for _, part in chunks(rows)]
-    counts = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0)
-    x = np.concatenate([p[1] for p in parts]) if parts else np.zeros((0, len(FEATURES)))
+    counts = np.array([r["words"] for r in rows])
+    x = np.array([r["x"] for r in rows], float).reshape(-1, len(FEATURES))
     forest = Forest.fit(x, trees, subsample, seed)
     path = forest.path(x)
     labelled = (counts >= least_words) & (x[:, 0] >= share)
@@ -198,3 +203,18 @@ def repeated_content(
 
     ddl = "key string, field_name string, words int, " + ", ".join(f"{f} double" for f in FEATURES) + ", path double, anomalous boolean, possible boolean"
     return texts.where("text is not null").mapInArrow(score, ddl)
+
+
+def calibration(scored: DataFrame, share: float = 0.4, least_words: int = 20) -> DataFrame:
+    """One row: how ``anomalous`` and ``possible`` of :func:`repeated_content` compare with the rule, over all texts.
+
+    ``texts`` of at least ``least_words`` words, those with a repeated share of ``share`` (``repeated``), those the
+    forest calls anomalous and possible, and the recall and precision of ``anomalous``; null where nothing is divided by.
+    """
+    rule = (F.col("words") >= least_words) & (F.col("run_share") >= share)
+    counts = scored.distinct().agg(
+        F.count_if(F.col("words") >= least_words).alias("texts"), F.count_if(rule).alias("repeated"), F.count_if("anomalous").alias("anomalous"), F.count_if(rule & F.col("anomalous")).alias("both"),
+        F.count_if("possible").alias("possible"), F.count_if(rule & ~F.col("possible")).alias("lost"),
+    )
+    ratio = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b))
+    return counts.select("texts", "repeated", "anomalous", "possible", "lost", ratio("both", "repeated").alias("recall"), ratio("both", "anomalous").alias("precision"))

@@ -65,6 +65,14 @@ SQL: dict[str, str] = {
     "p4_selection": f"""WITH first AS (SELECT trim(parent_seed_id, ' ') AS id, min(substr(generated_at, 1, 7)) AS epoch FROM gpt_pairs WHERE parent_seed_id IS NOT NULL GROUP BY 1),
       rated AS (SELECT *, CASE epoch WHEN '2026-01' THEN 0.5::DOUBLE WHEN '2026-02' THEN 0.4 WHEN '2026-03' THEN 0.3 ELSE 0.2 END AS rate FROM first) SELECT id AS parent_seed_id, epoch, rate FROM rated WHERE {_DRAW} < rate""",
     "p6_found": f"WITH {_REPETITION} SELECT sample_id, field_name FROM c GROUP BY ALL HAVING sum(n) FILTER (n > 1) / sum(n) >= 0.4",
+    "p6_shares": f"""WITH x AS (SELECT DISTINCT sample_id, 'synthetic_solution' AS field_name, synthetic_solution AS text FROM gpt_pairs WHERE synthetic_solution IS NOT NULL UNION ALL SELECT DISTINCT sample_id, 'raw_response', raw_response FROM gpt_pairs_solved WHERE raw_response IS NOT NULL),
+      t AS MATERIALIZED (SELECT row_number() OVER () AS k, *, {words('text')} AS w FROM x),
+      r AS (SELECT k, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS v, 1 AS size FROM t WHERE len(w) >= 5),
+      s AS (SELECT k, unnest(regexp_split_to_array(lower(text), '[.!?。！？\n]')) AS part FROM t), l AS (SELECT k, unnest(string_split(lower(text), chr(10))) AS part FROM t),
+      pieces AS (SELECT 'run' AS kind, k, v, size FROM r UNION ALL SELECT 'sentence', k, array_to_string({words('part')}, ' '), len({words('part')}) FROM s UNION ALL SELECT 'line', k, array_to_string({words('part')}, ' '), len({words('part')}) FROM l),
+      sums AS (SELECT kind, k, v, count(*) AS n, sum(size) AS size FROM pieces WHERE size > 0 GROUP BY ALL), shares AS (SELECT kind, k, coalesce(sum(size) FILTER (n > 1), 0) / sum(size) AS share FROM sums GROUP BY ALL)
+      SELECT DISTINCT sample_id, field_name, len(w)::INT AS words, coalesce(r.share, 0)::DOUBLE AS run_share, coalesce(s.share, 0)::DOUBLE AS sentence_share, coalesce(l.share, 0)::DOUBLE AS line_share
+      FROM t LEFT JOIN shares r ON r.k = t.k AND r.kind = 'run' LEFT JOIN shares s ON s.k = t.k AND s.kind = 'sentence' LEFT JOIN shares l ON l.k = t.k AND l.kind = 'line'""",
     "p7_found": f"""WITH q AS (SELECT DISTINCT eval_id, {words('question')} AS w FROM eval_questions WHERE question IS NOT NULL), qs AS (SELECT eval_id, least(12, len(w)) AS n, w FROM q WHERE len(w) > 0),
       runs AS (SELECT eval_id, n, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' '))) AS run FROM qs), d AS (SELECT doc_id, {words('text')} AS w FROM documents WHERE text IS NOT NULL),
       sizes AS (SELECT DISTINCT n FROM qs), g AS (SELECT doc_id, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i+n-1], ' '))) AS run FROM d, sizes)
