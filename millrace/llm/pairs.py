@@ -3,23 +3,26 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.words import chunks
+from .languages import fit_languages, other_language, prose
+
 _WORD = re.compile(r"[^\W_]+")
 #: Characters of scripts without spaces between words are words of their own where copies are sought.
 _UNSPACED = "\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\u0e00-\u0e7f\u0e80-\u0eff\u1000-\u109f\u1780-\u17ff\U00020000-\U0003ffff"
 _UNIT = re.compile(rf"[{_UNSPACED}]|[^\W_{_UNSPACED}]+")
 _CHARACTER = re.compile(f"[{_UNSPACED}]")
-_FORMULA = re.compile(r"\$[^$\n]{1,80}\$|\\[A-Za-z]+|\\[()\[\]]")
 _TERMINAL = ".。!?！？"
 _CLOSERS = "\"'”’»)]}*$` \t\n\r）】」"
 
 #: Closing words that may follow the answer.
-_CLOSING = re.compile(r"[\s,(]*(?:works|as (?:wanted|required|desired|claimed)|checked by substitution|is the answer|q\.?e\.?d)[)\s]*$", re.I)
+CLOSINGS = ("works", "as wanted", "as required", "as desired", "as claimed", "checked by substitution", "is the answer", "q.e.d", "qed")
 
 #: Words of placeholders and headings that say nothing by themselves.
 EMPTY_WORDS = frozenset(
@@ -29,51 +32,48 @@ EMPTY_WORDS = frozenset(
 #: Answers that decline.
 REFUSAL_ANSWERS = frozenset(["declined", "unable to answer", "i can't say", "i cannot say", "no answer will be given", "refused", "i decline", "cannot answer", "can't answer"])
 
-#: Frequent words that tell the languages in Latin script apart.
-STOPWORDS = {
-    "en": "the of and to that is in for with by as we each how many from which after when every at an its equals must one are what if then".split(),
-    "es": "el los las del que en con por para como una cuando cada hay es al se su todos ambos exactamente más sobre entre resulta sea".split(),
-    "fr": "le les des du que dans avec pour une est au aux et sur chaque on il qui lorsque par ce cette son ne pas quand soit vaut deux".split(),
-    "it": "il lo gli di che per con una sono della dei nel non si come ogni quando tra due poiché allora vale risulta".split(),
-    "pt": "os as do da dos das em que para com uma não como cada quando são ao pelo pela temos então vale entre".split(),
-    "de": "der die das und den dem von mit für ist ein eine auf wenn man zu im es sich nicht jede wird werden sei bleibt sobald aus bei wir".split(),
-}
-#: Languages told by their script: code points from, to.
-SCRIPTS = {"ru": "\u0400-\u04ff", "ja": "\u3040-\u30ff", "ko": "\uac00-\ud7af", "ar": "\u0600-\u06ff", "el": "\u0370-\u03ff", "hi": "\u0900-\u097f", "he": "\u0590-\u05ff", "th": "\u0e00-\u0e7f", "zh": "\u4e00-\u9fff"}
-_SCRIPT = {language: re.compile(f"[{spans}]") for language, spans in SCRIPTS.items()}
-_LANGUAGE_OF: dict[str, list[str]] = {}
-for _language, _listed in STOPWORDS.items():
-    for _w in _listed:
-        _LANGUAGE_OF.setdefault(_w, []).append(_language)
-
 EN_ACTS = "give provide produce supply offer deliver present write share answer solve prove help assist complete respond address discuss comply work proceed continue"
 EN_OBJECTS = "answer answers solution solutions proof question problem request task exercise reply response this that"
 
-#: Wordings of refusals that are searched as they are; see REFUSAL_SLOTS for those that are aligned.
-REFUSAL_TEMPLATES = [
-    re.compile(t, re.I)
-    for t in (
-        r"\b(?:i am|i'm|we are|we're) (?:not able|unable) to (?:\w+ ){0,3}(?:this|that|your|the) (?:request|task|question|problem|exercise)",
-        r"\b(?:i|we) (?:can't|cannot|can not|won't|will not) (?:help|assist|answer|solve|complete|provide (?:a|the|any) (?:solution|answer)|work (?:on|through)|continue with|do this|comply)\b",
-        r"\b(?:i|we)(?:'d| would) rather not (?:answer|solve|help|say|do|work)\b",
-        r"\b(?:i|we) do not have the means to\b",
-        r"\b(?:i|we) (?:must|have to|need to) (?:decline|refuse|pass on (?:this|that|the))\b",
-        r"\b(?:this|that) is something (?:i|we) (?:won't|will not|can't|cannot)\b",
-        r"\b(?:answering|solving it|this|that) would go beyond what (?:i|we) may\b",
-        r"\bno (?:solution|answer) will be (?:provided|given)\b",
-        r"\b(?:i|we) (?:decline|refuse) to (?:answer|solve|help|produce|provide|work)\b",
-        r"\bje ne (?:peux|puis) pas (?:traiter|répondre|résoudre|aider|vous aider)|\bje refuse de (?:répondre|résoudre|traiter)|\bje dois (?:décliner|refuser)",
-        r"\bno puedo (?:atender|responder|resolver|ayudar|ayudarle|tramitar)|\bdebo (?:declinar|rechazar)|\bme niego a (?:responder|resolver)",
-        r"\bich kann (?:\w+ ){0,4}nicht (?:bearbeiten|beantworten|lösen|helfen|erfüllen)|\bich (?:muss|möchte) (?:\w+ ){0,4}ablehnen",
-        r"\bя не (?:могу|буду|стану)|\bне могу (?:помочь|решить|ответить|выполнить)|\bвынужден[а]? отказать",
-        r"(?:无法|不能|不便|拒绝)(?:处理|回答|解答|提供|完成|帮助|协助|满足)[^。]{0,12}(?:请求|问题|题目|要求|解答|任务|此题|您|你|本题|。|$)",
-        r"(?:お?答え|回答|解答|手伝い|提供|対応|協力)[^。]{0,8}(?:(?:でき|出来)(?:ません|ない)|かねます|(?:お断り|拒否))|お断り(?:し|いた|致)",
-        r"(?:답변|대답|풀이|해결|도움|도와|제공|응답)[^.。]{0,10}(?:수 없습니다|수 없어요|거절|거부)",
-        r"لا (?:يمكنني|أستطيع|استطيع) (?:الإجابة|الاجابة|حل|المساعدة|مساعدتك|تقديم)|أرفض (?:الإجابة|حل)",
-        r"δεν μπορώ να (?:\w+ ){0,2}(?:απαντήσω|λύσω|βοηθήσω|δώσω)|αρνούμαι να",
-        r"(?:उत्तर|हल|मदद|सहायता|जवाब)[^।.]{0,12}नहीं (?:दे|कर) (?:सकता|सकती|सकते)",
-        r"(?:איני|אינני|לא) (?:יכול|יכולה) (?:לענות|לפתור|לעזור|לספק)|אני מסרבת? (?:לענות|לפתור)",
-        r"ไม่สามารถ(?:ตอบ|แก้|ช่วย|ให้คำตอบ)|ขอปฏิเสธ",
+_ASKED = "request task question problem exercise"
+#: Refusals as words in order. A word of a slot stands for the slot. With each: the share of the slots that must align, how many
+#: other words may stand before the next slot, and the number of a slot that must be among those aligned.
+REFUSAL_WORDINGS = [
+    (least, gap, anchor, tuple(frozenset(x.split()) for x in slots))
+    for least, gap, anchor, *slots in (
+        (1.0, 4, 2, "i we", "am are m re", "unable", "this that your the", _ASKED),
+        (1.0, 0, 1, "i we", "cannot wont", "help assist answer solve complete comply"),
+        (1.0, 1, 1, "i we", "cannot wont", "provide", "a the any", "solution answer"),
+        (1.0, 0, 1, "i we", "cannot wont", "work continue do", "on through with this"),
+        (0.8, 1, 2, "i we", "would d", "rather", "not", "answer solve help say do work"),
+        (0.8, 1, 5, "i we", "do", "not", "have", "the", "means", "to"),
+        (1.0, 1, 2, "i we", "must have need", "decline refuse"),
+        (1.0, 1, 2, "i we", "must have need", "pass", "on", "this that the"),
+        (1.0, 0, 2, "this that", "is", "something", "i we", "wont cannot"),
+        (0.8, 1, 3, "answering solving this that it", "would", "go", "beyond", "what", "i we", "may"),
+        (1.0, 0, 4, "no", "solution answer", "will", "be", "provided given"),
+        (1.0, 0, 1, "i we", "decline refuse", "to", "answer solve help produce provide work"),
+        (1.0, 1, 2, "je", "ne", "peux puis", "pas", "traiter répondre résoudre aider"),
+        (1.0, 0, 1, "je", "refuse", "de", "répondre résoudre traiter"), (1.0, 0, 2, "je", "dois", "décliner refuser"),
+        (1.0, 0, 1, "no", "puedo", "atender responder resolver ayudar ayudarle tramitar"), (1.0, 0, 1, "debo", "declinar rechazar"), (1.0, 0, 1, "me", "niego", "a", "responder resolver"),
+        (1.0, 4, 2, "ich", "kann", "nicht", "bearbeiten beantworten lösen helfen erfüllen"), (1.0, 4, 2, "ich", "muss möchte", "ablehnen"),
+        (1.0, 0, 2, "я", "не", "могу буду стану"), (1.0, 0, 2, "не", "могу", "помочь решить ответить выполнить"), (1.0, 0, 0, "вынужден вынуждена", "отказать отказаться"),
+        (1.0, 2, 1, "δεν", "μπορώ", "να", "απαντήσω λύσω βοηθήσω δώσω"), (1.0, 0, 0, "αρνούμαι", "να"),
+        (1.0, 0, 1, "لا", "يمكنني أستطيع استطيع", "الإجابة الاجابة حل المساعدة مساعدتك تقديم"), (1.0, 0, 0, "أرفض", "الإجابة حل"),
+        (1.0, 0, 1, "איני אינני לא", "יכול יכולה", "לענות לפתור לעזור לספק"), (1.0, 0, 1, "אני", "מסרב מסרבת", "לענות לפתור"),
+    )
+]
+#: The same for scripts that don't part words by spaces, or whose words hold marks: with each slot, how many other characters may stand
+#: before it. An empty string is the end of the sentence.
+REFUSAL_SIGNS_IN_ORDER = [
+    tuple((gap, tuple(x.split(" "))) for gap, x in slots)
+    for slots in (
+        ((0, "无法 不能 不便 拒绝"), (0, "处理 回答 解答 提供 完成 帮助 协助 满足"), (12, "请求 问题 题目 要求 解答 任务 此题 您 你 本题 ")),
+        ((0, "答え 回答 解答 手伝い 提供 対応 協力"), (8, "できません できない 出来ません 出来ない かねます お断り 拒否")),
+        ((0, "お断りし お断りい お断り致"),),
+        ((0, "답변 대답 풀이 해결 도움 도와 제공 응답"), (10, "수^없습니다 수^없어요 거절 거부")),
+        ((0, "उत्तर हल मदद सहायता जवाब"), (12, "नहीं^दे नहीं^कर"), (1, "सकता सकती सकते")),
+        ((0, "ไม่สามารถ"), (0, "ตอบ แก้ ช่วย ให้คำตอบ")), ((0, "ขอปฏิเสธ"),),
     )
 ]
 
@@ -99,10 +99,16 @@ _UNABLE = [(re.compile(p), to) for p, to in ((r"\bcan't\b|\bcan not\b|\bcould no
 _ARTICLES = frozenset(("a", "an", "the", "any", "our", "my", "your"))  # the next word is no act
 _SENTENCE = re.compile(r"[.!?。！？\n]+")
 
-#: Every template holds one of these, which is quick to see.
-_REFUSAL_SIGNS = ("able to", "can't", "cannot", "can not", "won't", "will not", "rather not", "means to", "decline", "refuse", "pass on", "beyond what", "will be provided", "will be given", "ne peux", "ne puis", "refus", "décliner", "no puedo", "declinar", "rechazar", "niego", "nicht", "не могу", "я не", "вынужден", "ablehnen", "无法", "不能", "不便", "拒绝",
-    "unable", "could not", "couldn't", "keine", "weigere", "incapable", "non ", "rifiuto", "não ", "recuso", "incapa", "no podemos", "no soy capaz", "rehúso", "не ", "отказываюсь",
-    "できません", "できない", "出来ません", "出来ない", "かねます", "断り", "拒否", "수 없", "거절", "거부", "لا ", "أرفض", "δεν ", "αρνούμαι", "नहीं", "לא ", "איני", "אינני", "מסרב", "ไม่สามารถ", "ปฏิเสธ")
+
+def _screen() -> tuple[str, ...]:
+    """Strings one of which every text that aligns with a refusal holds: a word of an anchor, or of the slot that says can't or won't, or a first sign."""
+    out = {w for _, _, anchor, slots in REFUSAL_WORDINGS for w in slots[anchor]} | {w for slots, _ in REFUSAL_SLOTS for w in slots[len(slots) - 3]}
+    out |= {w for slots in REFUSAL_SIGNS_IN_ORDER for w in slots[0][1]}
+    out |= {"can't", "can not", "could not", "couldn't", "won't", "will not", "not able"}  # what becomes cannot, wont and unable
+    return tuple(sorted(w for w in out if not any(o in w for o in out - {w})))
+
+
+_REFUSAL_SIGNS = _screen()
 
 
 def words(text: str) -> list[str]:
@@ -138,13 +144,54 @@ def aligned_share(slots: tuple[frozenset[str], ...], sentence: list[str]) -> flo
     return best / len(slots)
 
 
+def aligned_slots(slots: tuple[frozenset[str], ...], sentence: list[str], gap: int, anchor: int) -> float:
+    """Largest share of the slots that align in order with words of a sentence, the anchor among them, with at most ``gap`` other words between two of them."""
+    top = 0
+    reached: list[list[tuple[int, int]]] = [[] for _ in sentence]  # (slot, aligned with the anchor counted as 100)
+    for k, w in enumerate(sentence):
+        for i, slot in enumerate(slots):
+            if w in slot:
+                before = max((n for back in range(1, gap + 2) if k >= back for j, n in reached[k - back] if j < i), default=0)
+                n = before + 1 + (100 if i == anchor else 0)
+                reached[k].append((i, n))
+                if n > 100:
+                    top = max(top, n - 100)
+    return top / len(slots)
+
+
+def aligned_signs(slots: tuple[tuple[int, tuple[str, ...]], ...], sentence: str, at: int | None = None) -> bool:
+    """Whether strings of all slots stand in a sentence in order, each near enough to the one before."""
+    if not slots:
+        return True
+    (gap, signs), rest = slots[0], slots[1:]
+    for sign in signs:
+        sign = sign.replace("^", " ")
+        if not sign:
+            if len(sentence) - (at or 0) <= gap:
+                return True
+            continue
+        k = sentence.find(sign, at or 0)
+        while k >= 0 and (at is None or k - at <= gap):
+            if aligned_signs(rest, sentence, k + len(sign)):
+                return True
+            k = sentence.find(sign, k + 1)
+    return False
+
+
 def aligns_with_refusal(text: str) -> bool:
-    """Whether a sentence of a lower-cased text aligns with the slots of a refusal."""
+    """Whether a sentence of a lower-cased text aligns with a refusal: its words or signs in order, or who, can't, act and object."""
     for pattern, to in _UNABLE:
         text = pattern.sub(to, text)
-    for sentence in _SENTENCE.split(_prose(text)):
+    for sentence in _SENTENCE.split(prose(text)):
         own = words(sentence)
-        if not _NEGATED.isdisjoint(own) and any(aligned_share(slots, own) >= least for slots, least in REFUSAL_SLOTS):
+        if not own:
+            continue
+        held = set(own)
+        if any(not held.isdisjoint(slots[anchor]) and aligned_slots(slots, own, gap, anchor) >= least - 1e-9 for least, gap, anchor, slots in REFUSAL_WORDINGS):
+            return True
+        if not _NEGATED.isdisjoint(held) and any(aligned_share(slots, own) >= least for slots, least in REFUSAL_SLOTS):
+            return True
+        if not sentence.isascii() and any(aligned_signs(slots, sentence) for slots in REFUSAL_SIGNS_IN_ORDER):
             return True
     return False
 
@@ -152,37 +199,7 @@ def aligns_with_refusal(text: str) -> bool:
 def is_refusal(solution: str, answer: str | None) -> bool:
     """A declining template aligns with the solution, or the answer declines."""
     text = solution.replace("’", "'").lower()
-    return any(w in text for w in _REFUSAL_SIGNS) and (any(t.search(text) for t in REFUSAL_TEMPLATES) or aligns_with_refusal(text)) or (answer or "").replace("’", "'").strip().rstrip(".").lower() in REFUSAL_ANSWERS
-
-
-def _prose(text: str) -> str:
-    """The text without formulas and commands."""
-    return _FORMULA.sub(" ", text)
-
-
-def languages(text: str) -> dict[str, int]:
-    """Evidence of each language in a text: half the characters of its own script, or its frequent words."""
-    text = _prose(text)
-    out: dict[str, int] = {}
-    for w in words(text):
-        for language in _LANGUAGE_OF.get(w, ()):
-            out[language] = out.get(language, 0) + 1
-    if not text.isascii():
-        for language, script in _SCRIPT.items():
-            if n := len(script.findall(text)) // 2:
-                out[language] = n
-        if "ja" in out and out["ja"] * 5 > out.get("zh", 0):
-            out["ja"] += out.pop("zh", 0)
-    return out
-
-
-def other_language(problem: str, solution: str) -> bool:
-    """Whether most of the solution is clearly in a language that is clearly not the problem's."""
-    of, to = languages(problem), languages(solution)
-    if not of or not to:
-        return False
-    a, b = (max(sorted(x), key=x.get) for x in (of, to))
-    return a != b and of[a] >= 2 and to[b] >= 3 and of[a] >= 1.3 * of.get(b, 0) and to[b] >= 1.3 * to.get(a, 0)
+    return any(w in text for w in _REFUSAL_SIGNS) and aligns_with_refusal(text) or (answer or "").replace("’", "'").strip().rstrip(".").lower() in REFUSAL_ANSWERS
 
 
 def common_subsequence(a: list[str], b: list[str]) -> int:
@@ -207,19 +224,36 @@ def containment(part: list[str], whole: list[str], n: int = 3) -> float:
     return sum(r in held for r in runs) / len(runs)
 
 
-def copy_scores(problem: str, solution: str) -> tuple[float, float]:
-    """(containment of the solution's word runs in the problem, share of its words in a common subsequence with it), by :func:`units`.
+def is_copy(problem: str, solution: str) -> bool:
+    """Whether a solution only restates its problem, by :func:`units`.
 
-    The second is had only where the first does not decide alone (from 0.5 to 0.75), else it is 0.
+    It does if 0.75 of its runs of three units (four, if most are single characters) stand in the problem, or 0.75 of its
+    units form a common subsequence with it (or 0.7, if half of the runs stand there). Without shared runs the
+    subsequence must cover half of the problem too, as frequent words alone may align so far with a long one; for a
+    solution of fewer than 6 units, 0.8 of it. Runs and the subsequence are only looked for where the units that both have,
+    which bound them from above, are enough; so nothing is lost.
     """
     p, s = units(problem), units(solution)
-    if len(s) < 6:
-        return 0.0, 0.0
+    n = len(s)
+    if n < 2:
+        return False
     held = set(p)
-    if sum(w in held for w in s) < 0.4 * len(s):
-        return 0.0, 0.0
-    inside = containment(s, p, 4 if 2 * len(_CHARACTER.findall(solution)) > len(s) else 3)
-    return inside, common_subsequence(s, p) / len(s) if 0.5 <= inside < 0.75 else 0.0
+    common = sum(w in held for w in s)
+    size = 4 if 2 * len(_CHARACTER.findall(solution)) > n else 3
+    inside = 0.0
+    if n >= 6 and common >= 0.5 * (n - size + 1):
+        inside = containment(s, p, size)
+        if inside >= 0.75:
+            return True
+    if common < 0.7 * n:
+        return False
+    both = Counter(p) & Counter(s)
+    if both.total() < 0.7 * n:
+        return False
+    aligned = common_subsequence(s, p)
+    if n >= 6 and inside >= 0.5 and aligned >= 0.7 * n:
+        return True
+    return aligned >= 0.75 * n and aligned >= (0.5 if n >= 6 else 0.8) * len(p)
 
 
 def is_balanced(text: str) -> bool:
@@ -253,50 +287,61 @@ def is_cut_solution(solution: str, answer: str) -> bool:
     bare = s.rstrip(_CLOSERS)
     if bare and bare[-1] in _TERMINAL or s[-1] in _TERMINAL:
         return False
-    a, end = _squeezed(answer).rstrip("})"), _squeezed(s[:-40] + _CLOSING.sub("", s[-40:])).rstrip("})")
+    low = s.lower().rstrip(") \t\n")
+    closing = max((c for c in CLOSINGS if low.endswith(c)), key=len, default="")
+    said = s[: len(low) - len(closing)].rstrip(" \t\n,(") if closing and len(low) == len(s.rstrip(") \t\n")) else s
+    a, end = _squeezed(answer).rstrip("})"), _squeezed(said).rstrip("})")
     before = end[-len(a) - 1 : -len(a)] if a else ""
     return not (a and end.endswith(a) and not (before.isdigit() and a[0].isdigit()))
 
 
-def defect(problem: str | None, solution: str | None, answer: str | None) -> str | None:
-    """The pair's defect, if any: a reply that declines or is empty first, then copies, other languages and cut texts."""
+def defect(problem: str | None, solution: str | None, answer: str | None, other_language: bool = False) -> str | None:
+    """The pair's defect, if any: a reply that declines or is empty first, then copies, other languages and cut texts.
+
+    ``other_language`` is what :func:`languages.other_language` says of the pair.
+    """
     if solution is not None and not is_empty(solution) and is_refusal(solution, answer):
         return "refusal"
     if is_empty(solution) or is_empty(answer):
         return "empty"
-    if problem:
-        inside, aligned = copy_scores(problem, solution)
-        if inside >= 0.75 or inside >= 0.5 and aligned >= 0.7:
-            return "copy"
-        if other_language(problem, solution):
-            return "language"
+    if problem and is_copy(problem, solution):
+        return "copy"
+    if problem and other_language:
+        return "language"
     if is_cut_answer(answer) or is_cut_solution(solution, answer):
         return "truncated"
     return None
 
 
-def broken_pairs(pairs: DataFrame) -> DataFrame:
+def broken_pairs(pairs: DataFrame, labelled: DataFrame, labelled_rows: int = 4096) -> DataFrame:
     """``key, defect`` of each pair with a defect; rows without one are left out.
 
-    ``pairs`` has ``key``, ``problem``, ``solution`` and ``answer``; other columns are ignored. Defects:
+    ``pairs`` has ``key``, ``problem``, ``solution`` and ``answer``; ``labelled`` has ``text`` and ``lang``, from a
+    bounded sample of which languages are learned (:func:`languages.fit_languages`). Other columns are ignored. Defects:
 
-    - ``refusal``: a declining template aligns with the solution anywhere, or the answer declines;
+    - ``refusal``: a sentence of the solution aligns with a refusal, or the answer declines;
     - ``empty``: solution or answer is null, blank, or only placeholders and headings;
-    - ``copy``: at least 0.75 of the solution's three-word runs stand in the problem, or at least 0.5 of
-      them while 0.7 of its words form a common subsequence with the problem (in Chinese, Japanese and
-      other scripts without spaces characters count as words, and if most are such, runs have four);
+    - ``copy``: the solution's runs or a common subsequence with the problem cover it (see :func:`is_copy`; in Chinese,
+      Japanese and other scripts without spaces characters count as words);
     - ``language``: most of the solution is in another language than the problem;
     - ``truncated``: solution or answer breaks off.
 
-    A pair has the first that applies. A null problem can have all but ``copy`` and ``language``. Repeated
-    rows count once; null keys are left out; an empty table gives an empty result. Whole texts are read:
-    the cost of a pair is linear in its length but for copies, which align word by word.
+    A pair has the first that applies. A null problem can have all but ``copy`` and ``language``; without labelled
+    texts languages of one script are not told apart. Repeated rows count once; null keys are left out; an empty
+    table gives an empty result. Whole texts are read: the cost of a pair is linear in its length but for copies,
+    which align word by word.
     """
+    model = fit_languages(labelled, labelled_rows)
+    shared = pairs.sparkSession.sparkContext.broadcast(model)  # a table of fixed size for each language of the sample
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, problems, solutions, answers = (b.column(i).to_pylist() for i in range(4))
-            found = [(k, d) for k, p, s, a in zip(keys, problems, solutions, answers) if (d := defect(p, s, a))]
+            columns = [b.column(i).to_pylist() for i in range(4)]
+            found = []
+            for first, part in chunks([(p or "") + (s or "") for p, s in zip(columns[1], columns[2])]):
+                keys, problems, solutions, answers = (c[first : first + len(part)] for c in columns)
+                other = other_language(shared.value, [p or "" for p in problems], [s or "" for s in solutions])
+                found += [(k, d) for k, p, s, a, o in zip(keys, problems, solutions, answers, other.tolist()) if (d := defect(p, s, a, o))]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in found], pa.string()), pa.array([d for _, d in found], pa.string())], names=["key", "defect"])
 
     rows = pairs.select(F.col("key").cast("string").alias("key"), "problem", "solution", "answer").where("key is not null")

@@ -122,7 +122,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "gpt_pairs").select(
         F.col("sample_id").alias("key"), F.col("synthetic_problem").alias("problem"), F.col("synthetic_solution").alias("solution"), F.col("synthetic_answer").alias("answer")
     )
-    return pairs.broken_pairs(rows).withColumnRenamed("key", "sample_id")
+    return pairs.broken_pairs(rows, table(spark, sf, "documents")).withColumnRenamed("key", "sample_id")
 
 
 # Problem 6

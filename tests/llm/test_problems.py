@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import components, epochs, leakage, mixing, overlap, pairs, pivots, proportions, repetition, spans
+from millrace.llm import components, epochs, languages, leakage, mixing, overlap, pairs, pivots, proportions, repetition, spans
 from millrace.operators.words import Words
 
 WORD = re.compile(r"[^\W_]+")
@@ -195,9 +195,15 @@ CASES = [
 ]
 
 
+@pytest.fixture(scope="module")
+def language_model(spark):
+    return languages.fit_languages(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+
+
 @pytest.mark.parametrize("problem, solution, answer, kind", CASES)
-def test_defects(problem, solution, answer, kind):
-    assert pairs.defect(problem, solution, answer) == kind
+def test_defects(language_model, problem, solution, answer, kind):
+    other = languages.other_language(language_model, [problem or ""], [solution or ""])[0]
+    assert pairs.defect(problem, solution, answer, other) == kind
 
 
 @pytest.mark.parametrize("problem, solution, copied", [
@@ -231,8 +237,89 @@ def test_refusals_align_with_slots():
 def test_broken_pairs_table(spark):
     rows = [(f"k{i}", *c[:3], "x") for i, c in enumerate(CASES)] * 2 + [(None, "p", None, None, "x")]
     df = spark.createDataFrame(rows, "key string, problem string, solution string, answer string, defect string")
-    assert {(r.key, r.defect) for r in pairs.broken_pairs(df).collect()} == {(f"k{i}", c[3]) for i, c in enumerate(CASES) if c[3]}
-    assert pairs.broken_pairs(df.limit(0)).count() == 0
+    documents = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    assert {(r.key, r.defect) for r in pairs.broken_pairs(df, documents).collect()} == {(f"k{i}", c[3]) for i, c in enumerate(CASES) if c[3]}
+    assert pairs.broken_pairs(df.limit(0), documents).count() == 0
+    unlabelled = {(r.key, r.defect) for r in pairs.broken_pairs(df, documents.limit(0)).collect()}
+    assert {d for _, d in unlabelled} == {"empty", "refusal", "copy", "truncated", "language"}  # Russian still shows by its script
+
+
+#: Texts of own making, none from the tables, in languages the model has seen and in others.
+PROSE = {
+    "en": ["The gardener counted every tulip in the long bed and wrote the sum on a wooden board.", "We multiply both sides by three and then compare what remains, which settles the claim."],
+    "es": ["El jardinero contó todos los tulipanes del largo arriate y anotó la suma en una tabla de madera.", "Multiplicamos ambos lados por tres y comparamos lo que queda, con lo cual termina la prueba."],
+    "fr": ["Le jardinier a compté toutes les tulipes de la longue plate-bande et noté la somme sur une planche.", "On multiplie les deux côtés par trois puis on compare ce qui reste, ce qui achève la preuve."],
+    "de": ["Der Gärtner zählte jede Tulpe im langen Beet und schrieb die Summe auf ein hölzernes Brett.", "Wir multiplizieren beide Seiten mit drei und vergleichen dann den Rest, womit alles bewiesen ist."],
+    "it": ["Il giardiniere ha contato tutti i tulipani della lunga aiuola e ha scritto la somma su una tavola di legno.", "Moltiplichiamo entrambi i lati per tre e poi confrontiamo ciò che resta, e questo conclude la prova."],
+    "pt": ["O jardineiro contou todas as tulipas do longo canteiro e anotou a soma numa tábua de madeira.", "Multiplicamos ambos os lados por três e comparamos o que sobra, o que conclui a demonstração."],
+    "ru": ["Садовник сосчитал все тюльпаны на длинной клумбе и записал сумму на деревянной доске."],
+    "ja": ["庭師は長い花壇のチューリップをすべて数え、その合計を木の板に書いた。"],
+    "ko": ["정원사는 긴 화단의 튤립을 모두 세어 그 합을 나무 판에 적었다."],
+    "zh": ["园丁数清了长花坛里的每一朵郁金香，并把总数写在一块木板上。"],
+    "el": ["Ο κηπουρός μέτρησε όλες τις τουλίπες και έγραψε το άθροισμα σε μια ξύλινη πινακίδα."],
+}
+
+
+def test_languages_of_texts_not_in_the_tables(language_model):
+    """Italian and Portuguese are in no labelled row: they show against other languages, but not against Spanish, and not always one another."""
+    unseen = {"it", "pt"}
+    known, others, wrong = [], [], []
+    for a, ps in PROSE.items():
+        for b, ss in PROSE.items():
+            for p in ps:
+                for s in ss:
+                    hit = bool(languages.other_language(language_model, [p], [s])[0])
+                    if a == b:
+                        wrong += [(a, p)] if hit and a not in unseen else []
+                    elif not {a, b} & unseen:
+                        known.append(hit)
+                    elif not {a, b} <= {"es", *unseen}:
+                        others.append(hit)
+    assert not wrong and all(known) and sum(others) / len(others) >= 0.9, (len(known), sum(others), len(others))
+
+
+def test_a_quoted_foreign_sentence_is_no_other_language(language_model):
+    s = " ".join(PROSE["en"]) + " As the old book says: " + PROSE["fr"][0]
+    assert not languages.other_language(language_model, [PROSE["en"][0]], [s])[0]
+    assert not languages.other_language(language_model, ["$x$", "", PROSE["en"][0]], ["Also.", PROSE["fr"][0], "$\\frac{le}{la}$ 4"]).any()
+
+
+def test_copies_by_subsequence_alone():
+    rng = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    found = wrong = 0
+    for _ in range(60):
+        p = [rng.choice(vocabulary) for _ in range(rng.randrange(15, 60))]
+        s = [f"new{rng.randrange(10**9)}" if i % 5 == 4 else w for i, w in enumerate(p)]  # no run of five is left
+        found += pairs.is_copy(" ".join(p), " ".join(s))
+        work = [rng.choice(p) if rng.random() < 0.5 else rng.choice(vocabulary) for _ in range(rng.randrange(6, 80))]
+        wrong += pairs.is_copy(" ".join(p), " ".join(work))
+    assert found >= 57 and wrong == 0
+    assert pairs.is_copy("Solve x^2 = 4", "Solve x^2 = 4.") and not pairs.is_copy("What is 3 + 4?", "3 + 4 = 7")
+
+
+def test_the_bounds_of_copies_lose_nothing():
+    rng = random.Random(15)
+    for _ in range(300):
+        p, s = (" ".join(rng.choice("abcdefg") for _ in range(rng.randrange(2, 40))) for _ in range(2))
+        if rng.random() < 0.5:
+            s = " ".join(w for w in p.split() if rng.random() < 0.9)
+        u, v = pairs.units(p), pairs.units(s)
+        inside, aligned, n = (pairs.containment(v, u) if len(v) >= 6 else 0), pairs.common_subsequence(v, u), len(v)
+        want = n >= 2 and (inside >= 0.75 or n >= 6 and inside >= 0.5 and aligned >= 0.7 * n or aligned >= 0.75 * n and aligned >= (0.5 if n >= 6 else 0.8) * len(u))
+        assert pairs.is_copy(p, s) == want
+
+
+def test_refusals_one_word_off_their_wording():
+    off = ["I'd rather never answer that one.", "My apologies, answering this would go beyond what I may do.", "I won't do this.", "We must pass on this.", "This is something we cannot solve.", "Ich kann diese Frage leider nicht beantworten."]
+    assert [t for t in off if not pairs.is_refusal(t, "4")] == []
+    work = ["We cannot do better than 5, so the answer is 5.", "We must reject x = 3. This is something we can see from the graph.", "No answer other than 5 will be possible.", "It would not help to try n = 3.", "We need not solve the equation; note the sum."]
+    assert [t for t in work if pairs.is_refusal(t, "4")] == []
+
+
+def test_closings_anywhere_at_the_end():
+    long = "so that it is 7, " + "as claimed" + " " * 60
+    assert not pairs.is_cut_solution("Thus we get 7 as claimed", "7") and not pairs.is_cut_solution(long, "7") and pairs.is_cut_solution("Thus we get 7 as", "7")
 
 
 def test_common_subsequence():
@@ -454,8 +541,24 @@ def test_shared_spans(spark, hot):
     assert spans.shared_spans(df.limit(0)).count() == 0
 
 
-def test_every_query_runs_on_the_small_tables(spark):
+def test_queries_that_need_no_table_of_their_own(spark):
+    from millrace.llm.queries import QUERIES
+
+    small = "/root/testdata/sf0.001"
+    found = {n: QUERIES[n](spark, small) for n in ("p3_pruning", "p6_calibration", "p8_report", "p2_report")}
+    row = found["p3_pruning"].first()
+    assert row.candidates - row.discarded >= row.similar >= 0
+    row = found["p6_calibration"].first()
+    assert row.lost == 0 and row.repeated <= row.possible <= row.texts
+    assert all(r.overlapping <= r.records and r.exact <= r.overlapping for r in found["p2_report"].collect())
+    report = found["p8_report"].collect()
+    assert abs(sum(r.actual_share for r in report) - 1) < 1e-9 and all(r.actual_tokens <= r.capacity_tokens for r in report)
+
+
+def test_every_query_takes_empty_tables(spark, tmp_path):
     from millrace.llm.queries import QUERIES
 
-    for name in ("p1_found", "p4_found", "p4_selection", "p5_found"):
-        assert QUERIES[name](spark, "/root/testdata/sf0.001").count() >= 0
+    for name in ("numina_5k_seeds", "gpt_pairs", "gpt_pairs_solved", "gpt_pairs_quality", "rlvr", "eval_questions", "documents", "seed_targets", "mix_targets"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    for name, query in QUERIES.items():
+        assert query(spark, str(tmp_path)).count() == (1 if name in ("p3_pruning", "p6_calibration") else 0), name
