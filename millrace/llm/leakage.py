@@ -104,7 +104,7 @@ def best_alignment(doc: np.ndarray, q: np.ndarray, least: float = 0) -> int:
 
 
 def leaked_items(
-    documents: DataFrame, items: DataFrame, seed_words: int = 5, window: int = 12, least_score: float = 0.5, block_items: int = 20_000
+    documents: DataFrame, items: DataFrame, seed_words: int = 5, window: int = 12, least_score: float = 0.5, block_items: int = 20_000, block_chars: int = 8_000_000
 ) -> DataFrame:
     """``doc_id, eval_id, run, words, score``: documents with passages of evaluation items.
 
@@ -116,13 +116,15 @@ def leaked_items(
     an edited or partial one. Rows are all pairs with ``run`` of at least ``min(window, words)``, and
     all that share a seed with ``score >= least_score``.
 
-    The items are taken in blocks of ``block_items`` (their word hashes are what is broadcast), so
-    the broadcast is bounded however many there are. Items or documents with a null id, or that are
+    The items are taken in blocks of about ``block_items`` of ``block_chars`` characters together, whatever their
+    number (what is broadcast is a block's word hashes, some 5 bytes a character), and each block reads the
+    documents once. Items or documents with a null id, or that are
     null, empty or without words, match nothing; equal questions under two ids each count; repeated
     rows count once. Empty tables give an empty result.
     """
     items = items.select(F.col("eval_id").cast("string").alias("eval_id"), "question").where("eval_id is not null and question is not null")
-    n_blocks = max(1, -(-items.count() // block_items))
+    n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("question")), F.lit(0))).first()
+    n_blocks = max(1, -(-n // block_items), -(-chars // block_chars))
     out = None
     for k in range(n_blocks):
         part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("eval_id", "question"), F.lit(n_blocks)) == k)
