@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .ids import seed31
+
 #: Markers of problems that need a picture.
 VISUAL_MARKERS = [r"!\[", r"https?://\S+\.(?:png|jpe?g|gif|svg)", r"\bfigure\b", r"\bdiagram\b"]
 #: Addresses, and what is no letter, digit or Chinese character.
@@ -54,6 +56,25 @@ def shingles(c: str | Column, size: int = 5, normalized: bool = False) -> Column
     return F.filter(F.array_distinct(each), lambda s: s != "")
 
 
+def minhash(c: str | Column, permutations: int = 128, size: int = 5) -> Column:
+    """The signature of a text's shingles: for each of ``permutations`` linear maps modulo ``2**31 - 1`` the least image of their hashes.
+
+    Two texts agree at a place with a chance near the Jaccard index of their shingles. Null for a text without shingles.
+    The maps' coefficients are hashes of their numbers, so signatures are the same everywhere.
+    """
+    number = F.sequence(F.lit(0), F.lit(permutations - 1))
+    hashes = F.transform(shingles(c, size), lambda s: seed31(s))
+    maps = F.transform(number, lambda i: F.struct((seed31(F.lit("a"), i) + 1).alias("a"), seed31(F.lit("b"), i).alias("b")))
+    made = F.transform(F.array(hashes), lambda h: F.transform(maps, lambda m: F.array_min(F.transform(h, lambda x: (m["a"] * x + m["b"]) % F.lit(0x7FFFFFFF)))))[0]
+    return F.when(F.size(hashes) > 0, made)
+
+
+def agreement(a: str | Column, b: str | Column) -> Column:
+    """Share of the places at which two signatures agree; 0 if one is null."""
+    same = F.size(F.filter(F.zip_with(_col(a), _col(b), lambda x, y: x == y), lambda e: e)) / F.size(_col(a))
+    return F.when(_col(a).isNotNull() & _col(b).isNotNull(), same).otherwise(0.0)
+
+
 def jaccard(a: str | Column, b: str | Column) -> Column:
     """Jaccard index of two arrays of distinct values, 0 if either is empty or null."""
     a, b = _col(a), _col(b)

@@ -64,19 +64,22 @@ class HashProvider:
 
     name = "hash-stub"
 
+    def __init__(self, reliable: bool = False):
+        self.reliable = reliable  # then no call and no reply fails
+
     def complete(self, prompts: list[str], system: str, seeds: list[int]) -> list[Reply]:
         out = []
         for p, s in zip(prompts, seeds):
             n = int(hashlib.sha256(f"{s}\x1f{p}".encode()).hexdigest()[:6], 16)
             if "boxed" in system:
-                if n % 17 == 0:
+                if n % 17 == 0 and not self.reliable:
                     out.append(Reply(None, attempts=3, error_type="TimeoutError", error="no reply"))
                     continue
                 text = f"We find \\boxed{{{n % 5}}}."
-            elif n % 3 == 0:
+            elif n % 3 == 0 and not self.reliable:
                 text = "I would rather talk about something else"
             else:
-                text = f'```json\n{{"problem": "Find \\frac{{{n}}}{{7}}.", "reference_solution": "Take {n} modulo 5.", "reference_answer": "{n % 5}", "claimed_domain": "Algebra", "claimed_difficulty": "{"" if n % 13 == 0 else "olympiad"}"}}\n```'
+                text = f'```json\n{{"problem": "Find \\frac{{{n}}}{{7}}.", "reference_solution": "Take {n} modulo 5.", "reference_answer": "{n % 5}", "claimed_domain": "Algebra", "claimed_difficulty": "{"" if n % 13 == 0 and not self.reliable else "olympiad"}"}}\n```'
             out.append(Reply(text, n % 100, n % 50, n % 100 + n % 50))
         return out
 

@@ -162,6 +162,13 @@ def parent_jaccard(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("sample_id", similarity.row_similarity("real_problem", "synthetic_problem").alias("jaccard"))
 
 
+def minhash_agreement(spark: SparkSession, sf: str) -> DataFrame:
+    """The Jaccard index of parents and pairs as signatures of 64 places estimate it."""
+    rows = table(spark, sf, "gpt_pairs_quality").select("sample_id", "real_problem", "synthetic_problem").distinct()
+    signed = rows.select("sample_id", text.minhash("real_problem", 64).alias("a"), text.minhash("synthetic_problem", 64).alias("b"))
+    return signed.select("sample_id", text.agreement("a", "b").alias("agreement"))
+
+
 def _joined_hits(hits: DataFrame) -> DataFrame:
     return hits.select(F.col("key").alias("sample_id"), F.array_join("hits", ",").alias("hits"))
 
@@ -528,6 +535,6 @@ _ALL = [
     audit_sample, nested_positions, rlvr_views, sft_views, arm_counts, merged_audit, assigned_groups, audited_datasets, pending_solutions, duplicate_ids,
     missing_keys, generator_usage, solver_usage, release_manifest, counts_by_split_source, canonical_seeds, pool_seeds, repaired_json, generation_chain,
     verdict_chain, jsonl_round_trip, resumed_stream, generated_pairs, generation_failures, failure_log, seed_manifest, quality_manifest, view_manifest, invalid_records,
-    limited_solutions, quota_shortages, appended_log, view_files, evaluation_files, sheet_files, theory_file, artifact_digests, snapshot_mismatches, projected_pairs, number_answers,
+    limited_solutions, quota_shortages, appended_log, view_files, evaluation_files, sheet_files, theory_file, artifact_digests, snapshot_mismatches, projected_pairs, number_answers, minhash_agreement,
 ]
 QUERIES = {f.__name__: f for f in _ALL}

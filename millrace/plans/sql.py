@@ -216,6 +216,10 @@ SQL: dict[str, str] = {
     "reachability": f"WITH c AS (SELECT sample_id, count(*) FILTER ({seed31('sample_id', chr(39) + 'reach' + chr(39), 'rollout')} % 3 = 0) AS m FROM (SELECT DISTINCT sample_id FROM gpt_pairs), (SELECT unnest(range(8)) AS rollout) GROUP BY sample_id) SELECT sample_id, m AS pseudo_answer_matches, m / 8 AS pseudo_answer_p_hat, CASE WHEN m = 0 THEN 'dead' WHEN m = 8 THEN 'pseudo_saturated' ELSE 'deceptive_active' END AS observed_group_regime, pow(1 - m / 8, 8) AS predicted_dead_probability, 1 - pow(1 - m / 8, 8) - pow(m / 8, 8) AS predicted_active_probability, pow(m / 8, 8) AS predicted_saturated_probability FROM c",
     "regime_theory": "SELECT k::INT AS k, p, pow(1 - p, k) AS dead, 1 - pow(1 - p, k) - pow(p, k) AS active, pow(p, k) AS saturated FROM (VALUES (4), (8), (16), (32)) a(k), (VALUES (0.0::DOUBLE), (0.001), (0.003), (0.01), (0.03), (0.1), (0.3), (0.5), (0.8), (0.95), (1.0)) b(p)",
     "parent_jaccard": f"WITH {_PARENT} SELECT sample_id, jaccard FROM parent",
+    "minhash_agreement": f"""WITH m AS (SELECT list({seed31("'a'", 'i')} + 1 ORDER BY i) AS a, list({seed31("'b'", 'i')} ORDER BY i) AS b FROM (SELECT unnest(range(64)) AS i)),
+      t AS (SELECT sample_id, list_transform({shingles("x")}, lambda s: {seed31("s")}) AS x, list_transform({shingles("y")}, lambda s: {seed31("s")}) AS y FROM (SELECT DISTINCT sample_id, {norm("real_problem")} AS x, {norm("synthetic_problem")} AS y FROM gpt_pairs_quality)),
+      s AS (SELECT sample_id, list_transform(range(1, 65), lambda i: list_min(list_transform(x, lambda h: (a[i] * h + b[i]) % 2147483647))) AS p, list_transform(range(1, 65), lambda i: list_min(list_transform(y, lambda h: (a[i] * h + b[i]) % 2147483647))) AS q, len(x) > 0 AND len(y) > 0 AS ok FROM t, m)
+      SELECT sample_id, CASE WHEN ok THEN len(list_filter(range(1, 65), lambda i: p[i] = q[i])) / 64 ELSE 0.0 END AS agreement FROM s""",
     "decontamination": f"WITH cand AS (SELECT * FROM {_QUALITY} UNION ALL SELECT DISTINCT 'probe_' || eval_id, question || ' Give the final value.' FROM eval_questions WHERE question IS NOT NULL), {_contamination('cand')} SELECT * FROM eval_hits",
     "earlier_duplicates": f"WITH {_sets('c', _QUALITY, 'sample_id', 'synthetic_problem')}, {_repeats('c')} SELECT * FROM repeat_hits",
     "quality_policy": f"WITH {_POLICY} SELECT sample_id, schema_ok, answer_parseable, eval_contaminated, synthetic_duplicate, parent_near_duplicate, solver_matches::INT AS solver_matches, quality_accept FROM policy",

@@ -43,6 +43,12 @@ def read_columns(spark: SparkSession, path: str, columns: list[str]) -> DataFram
     return df.select(*columns)
 
 
+def if_there(spark: SparkSession, path: str) -> DataFrame | None:
+    """The Parquet table at ``path``, or None where there is none."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.parquet(path) if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p) else None
+
+
 def write_sheet(df: DataFrame, path: str, mark: bool = True) -> None:
     """CSV with a header, all strings quoted where needed; nulls are empty. ``mark``: each file begins with a byte order mark, for spreadsheets."""
     names = [("\ufeff" if mark and i == 0 else "") + c for i, c in enumerate(df.columns)]

@@ -152,6 +152,7 @@ def test_no_prompt_is_sent_twice(spark, tmp_path):
         """Counts its calls in files, as its batches run in other processes."""
 
         def __init__(self, folder):
+            super().__init__()
             self.folder = folder
 
         def complete(self, prompts, system, seeds):
@@ -261,3 +262,24 @@ def test_a_cluster_needs_a_shared_folder():
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session)
+
+
+def test_whole_run(spark, tmp_path):
+    from millrace.plans import pipeline
+
+    seeds = spark.createDataFrame([(f"p{i}", "train" if i < 6 else "development", "s", "Algebra", "math-word-problem", "d", "e", f"problem {i}", f"problem {i}", "S", "1") for i in range(8)], "parent_seed_id string, split string, source string, problem_type string, question_type string, domain string, difficulty string, problem string, real_problem string, real_solution string, real_answer string")
+    questions = spark.createDataFrame([("q", "what is asked here")], "eval_id string, question string")
+    root = str(tmp_path / "release")
+    shaky, sure = model.HashProvider(), model.HashProvider(reliable=True)
+    with pytest.raises(RuntimeError, match="generation incomplete: [1-7]/8"):
+        pipeline.run(seeds, questions, shaky, sure, root, rounds=1, seed=3)
+    kept = spark.read.parquet(f"{root}/raw/pairs.parquet").count()
+    got = {(r.section, r.name): r.value for r in pipeline.run(seeds, questions, sure, sure, root, expected=6, seed=3).collect()}
+    assert got["release", "rows"] == 8 and got["by_split", "train"] == 6 and got["arms.r050", "synthetic"] == 3 and got["arms.r100", "rows"] == 6 and got["checks", "rows"] == 8
+    assert 0 < kept < 8 and got["release", "solver_total_tokens"] > 0
+    named = [r.name for r in spark.read.json(f"{root}/digests.jsonl").collect()]
+    assert any(n.startswith("processed/rlvr.parquet/part-") for n in named) and any(n.startswith("manifest.jsonl/part-") for n in named)
+    failures = spark.read.json(f"{root}/raw/pairs_failures.jsonl")
+    assert failures.count() == 8 - kept
+    with pytest.raises(ValueError):
+        pipeline.run(seeds, questions, sure, sure, root, expected=7)
