@@ -19,6 +19,8 @@ from ..operators.staging import stage
 from ..operators.words import U, chunks, code_points, mix, powers, prefix_hashes, signed
 
 _EMPTY = np.zeros(0, np.int64)
+#: Minimisers of more than one in so many pieces are broadcast; there are fewer of them than this.
+_HEAVY = 100_000
 _COLLISION = "two different windows have one 128-bit hash"
 
 
@@ -181,14 +183,22 @@ def shared_spans(documents: DataFrame, span: int = 200, seed: int = 64, hot: int
     whole = long.select("doc_id", "d1", "d2", "n_chars", salt("doc_id")).join(repeated, ["d1", "d2", "n_chars", "salt"])
     whole = whole.select("doc_id", F.col("n_chars").cast("bigint").alias("sum"), F.col("n_chars").cast("bigint").alias("longest"))
 
-    reps = long.join(texts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    pieces = reps.select(F.col("doc_id").alias("rep"), F.inline(F.arrays_zip("minimisers", "first", "windows")).alias("minimiser", "first", "windows"), salt("doc_id"))
-    # counts by salt, so that a minimiser with a large part of all pieces is joined in as many parts; a rare one has few salts
-    parts = stage(pieces.groupBy("minimiser", "salt").agg(F.count("*").alias("met"), F.min("rep").alias("lo"), F.max("rep").alias("hi")), "span-minimisers")
-    common = parts.groupBy("minimiser").agg(F.sum("met").alias("met"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo != hi").select("minimiser", "met")
-    wanted = pieces.join(parts.select("minimiser", "salt").join(common, "minimiser"), ["minimiser", "salt"])
+    # all copies of a text but one are left out; usually few, so that the long rows need not move
+    copies = long.select("doc_id", "d1", "d2", "n_chars", salt("doc_id")).join(texts.where("copies > 1").select("d1", "d2", "n_chars", "rep", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")), ["d1", "d2", "n_chars", "salt"])
+    copies = stage(copies.where("doc_id != rep").select("doc_id"), "span-copies")
+    reps = long.join(copies, "doc_id", "left_anti")
+    pieces = reps.select(F.col("doc_id").alias("rep"), F.inline(F.arrays_zip("minimisers", "first", "windows")).alias("minimiser", "first", "windows"))
+    common = pieces.groupBy("minimiser").agg(F.count("*").alias("met"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("minimiser", "met")
+    common = stage(common, "span-minimisers")
+    # minimisers of more than a 100,000th of all pieces, so fewer than 100,000, are found by broadcast; the rest by a join, in which none is large
+    total = cuts.agg(F.sum(F.size("minimisers"))).first()[0] or 0
+    heavy = F.broadcast(common.where(F.col("met") > total / _HEAVY))
+    light = common.where(F.col("met") <= total / _HEAVY)
+    wanted = pieces.join(heavy, "minimiser").unionByName(pieces.join(heavy.select("minimiser"), "minimiser", "left_anti").join(light, "minimiser"))
     wanted = wanted.groupBy("rep").agg(F.collect_list(F.struct("minimiser", "first", "windows", "met")).alias("wanted"))  # of one document, fewer than its characters
-    sent = docs.join(wanted, F.col("doc_id") == F.col("rep")).select("rep", F.inline("wanted"), "text")
+    wanted = stage(wanted, "span-wanted")
+    some = docs.join(stage(wanted.select(F.col("rep").alias("doc_id")), "span-wanted-ids"), "doc_id", "left_semi")  # only these texts are sent
+    sent = some.join(wanted, F.col("doc_id") == F.col("rep")).select("rep", F.inline("wanted"), "text")
     packed = F.col("text").substr(F.col("first") + 1, F.col("windows") + (span - 1))
     packed = stage(sent.select("rep", "minimiser", "first", "met", packed.alias("packed")), "span-packed")
 
