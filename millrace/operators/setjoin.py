@@ -33,11 +33,12 @@ LEAST_BITS, MOST_BITS = 16, 24
 CELL = 8192
 
 
-def run_sets(records: DataFrame, text: str, keep: list[str], run: int = 5, blanks: bool = False, name: str = "run-sets") -> DataFrame:
+def run_sets(records: DataFrame, text: str, keep: list[str], run: int = 5, blanks: bool = False, name: str = "run-sets", wordless: bool = False) -> DataFrame:
     """A written table: ``keep`` and, of each text with any word, ``c1, c2`` (its class), ``n`` and ``runs``, ascending.
 
     Texts are cut into words once, here. Null, empty and wordless texts are left out; a text with fewer
-    than ``run`` words has one run of all of them. ``blanks``: words are what stands between blanks.
+    than ``run`` words has one run of all of them. ``blanks``: words are what stands between blanks. ``wordless``: texts
+    without words are kept, with no runs; they are to be left out of joins.
     """
     schema = records.select(*keep).schema
     ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema) + ", c1 bigint, c2 bigint, n int, runs array<bigint>"
@@ -52,13 +53,11 @@ def run_sets(records: DataFrame, text: str, keep: list[str], run: int = 5, blank
                 new[1:] = (h[1:] != h[:-1]) | (of[1:] != of[:-1])
                 of, h = of[new], h[new]
                 at = np.searchsorted(of, np.arange(len(part) + 1))
-                some = np.flatnonzero(np.diff(at))
-                begin = at[some]
+                some = np.arange(len(part)) if wordless else np.flatnonzero(np.diff(at))
                 if not len(some):
                     continue
-                c1 = np.add.reduceat(mix(h), begin)
-                c2 = np.add.reduceat(mix(h ^ U(0xA5A5A5A5A5A5A5A5)), begin)
-                ends = np.append(begin, len(h))
+                ends = np.append(at[some], len(h))
+                c1, c2 = (np.diff(np.concatenate((np.zeros(1, U), np.cumsum(x, dtype=U)))[ends]) for x in (mix(h), mix(h ^ U(0xA5A5A5A5A5A5A5A5))))
                 cols = [b.column(i).slice(first, len(part)).take(pa.array(some)) for i in range(len(keep))]
                 cols += [pa.array(signed(c1)), pa.array(signed(c2)), pa.array(np.diff(ends), pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(signed(h)))]
                 yield pa.RecordBatch.from_arrays(cols, names=[*keep, "c1", "c2", "n", "runs"])

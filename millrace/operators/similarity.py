@@ -28,12 +28,11 @@ def evaluation_hits(rows: DataFrame, key: str, text: str, questions: DataFrame,
     both = given.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True))).withColumn("norm", normalize_text("text"))
     names = ["key", "eval_id", "asked", "t1", "t2"]
     named = both.select("key", "eval_id", "asked", F.xxhash64("norm").alias("t1"), F.xxhash64(F.lit(1), "norm").alias("t2"), "norm")
-    sets = run_sets(named, "norm", names, blanks=True, name="hit-sets")
+    every = run_sets(named, "norm", names, blanks=True, name="hit-sets", wordless=True)
+    exact = every.where("not asked").join(every.where("asked").select("t1", "t2").distinct(), ["t1", "t2"], "left_semi").select("key", F.array(F.lit("exact")).alias("hits"))
+    exact = stage(exact, "exact-hits")
+    sets = every.where("n > 0")
     questions_named = sets.where("asked")
-    exact = sets.where("not asked").join(questions_named.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi").select("key")
-    blank = named.where("norm = ''")  # has no runs, so it is not in the sets
-    blank_rows = blank.where("not asked").join(blank.where("asked").select("asked").limit(1).withColumn("asked", F.lit(False)), "asked", "left_semi").select("key")
-    exact = stage(exact.unionByName(blank_rows).select("key", F.array(F.lit("exact")).alias("hits")), "exact-hits")
     near = similar_classes(sets, threshold, "not asked", "asked")
     ids = near.join(questions_named.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), "eval_id"), ["b1", "b2"])
     by_class = ids.groupBy(F.col("a1").alias("c1"), F.col("a2").alias("c2")).agg(F.array_sort(F.collect_set("eval_id")).alias("hits"))
