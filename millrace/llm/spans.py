@@ -15,12 +15,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.joins import join_counted
 from ..operators.staging import stage
 from ..operators.words import U, chunks, code_points, mix, powers, prefix_hashes, signed
 
 _EMPTY = np.zeros(0, np.int64)
-#: Minimisers of more than one in so many pieces are broadcast; there are fewer of them than this.
-_HEAVY = 100_000
 _COLLISION = "two different windows have one 128-bit hash"
 
 
@@ -190,11 +189,8 @@ def shared_spans(documents: DataFrame, span: int = 200, seed: int = 64, hot: int
     pieces = reps.select(F.col("doc_id").alias("rep"), F.inline(F.arrays_zip("minimisers", "first", "windows")).alias("minimiser", "first", "windows"))
     common = pieces.groupBy("minimiser").agg(F.count("*").alias("met"), F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo != hi").select("minimiser", "met")
     common = stage(common, "span-minimisers")
-    # minimisers of more than a 100,000th of all pieces, so fewer than 100,000, are found by broadcast; the rest by a join, in which none is large
     total = cuts.agg(F.sum(F.size("minimisers"))).first()[0] or 0
-    heavy = F.broadcast(common.where(F.col("met") > total / _HEAVY))
-    light = common.where(F.col("met") <= total / _HEAVY)
-    wanted = pieces.join(heavy, "minimiser").unionByName(pieces.join(heavy.select("minimiser"), "minimiser", "left_anti").join(light, "minimiser"))
+    wanted = join_counted(pieces, common, "minimiser", "met", total)
     wanted = wanted.groupBy("rep").agg(F.collect_list(F.struct("minimiser", "first", "windows", "met")).alias("wanted"))  # of one document, fewer than its characters
     wanted = stage(wanted, "span-wanted")
     some = docs.join(stage(wanted.select(F.col("rep").alias("doc_id")), "span-wanted-ids"), "doc_id", "left_semi")  # only these texts are sent
