@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.answers import is_parseable
 from ..functions.text import strip, text_or_empty
 from .manifest import as_section, by_key
-from .similarity import earlier_duplicates, evaluation_hits, row_similarity
+from .similarity import earlier_duplicates, evaluation_hits, row_similarity, shingle_sets
 from .staging import stage
 from .votes import rollout_matches
 
@@ -21,8 +21,9 @@ def assess(rows: DataFrame, questions: DataFrame, threshold: float = 0.8, requir
     """
     cols = {"synthetic_problem", "synthetic_solution", "synthetic_answer", "real_problem", "solver_rollouts", "solver_matches", "solver_match_rate"}
     rest = [c for c in rows.columns if c not in cols]
-    hits = evaluation_hits(rows, "sample_id", "synthetic_problem", questions, threshold).toDF("sample_id", "eval_contamination_hits")
-    repeats = earlier_duplicates(rows, "sample_id", "synthetic_problem", threshold).toDF("sample_id", "synthetic_duplicate_hits")
+    sets = shingle_sets(rows, "sample_id", "synthetic_problem")
+    hits = evaluation_hits(rows, "sample_id", "synthetic_problem", questions, threshold, sets).toDF("sample_id", "eval_contamination_hits")
+    repeats = earlier_duplicates(rows, "sample_id", "synthetic_problem", threshold, sets).toDF("sample_id", "synthetic_duplicate_hits")
     filled = F.size(F.coalesce("solver_rollouts", F.array())) > 0
     complete = [F.length(strip(text_or_empty(c))) > 0 for c in ("synthetic_problem", "synthetic_solution", "synthetic_answer")]
     checked = rows.select(

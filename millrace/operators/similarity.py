@@ -11,43 +11,41 @@ from .staging import stage
 
 
 def shingle_sets(df: DataFrame, key: str, text: str, size: int = 5) -> DataFrame:
-    """A written table: ``key``, a 128-bit name of the normalised text (``t1, t2``), and its class and hashed shingles."""
+    """A written table: ``key``, a 128-bit name of the normalised text (``t1, t2``), and its class and hashed shingles; ``n`` is 0 for a text without words."""
     norm = df.select(F.col(key).alias("key"), normalize_text(text).alias("norm"))
     named = norm.select("key", F.xxhash64("norm").alias("t1"), F.xxhash64(F.lit(1), "norm").alias("t2"), "norm")
-    return run_sets(named, "norm", ["key", "t1", "t2"], size, blanks=True, name="shingles")
+    return run_sets(named, "norm", ["key", "t1", "t2"], size, blanks=True, name="shingles", wordless=True)
 
 
-def evaluation_hits(rows: DataFrame, key: str, text: str, questions: DataFrame, threshold: float = 0.8) -> DataFrame:
+def evaluation_hits(rows: DataFrame, key: str, text: str, questions: DataFrame, threshold: float = 0.8, sets: DataFrame | None = None) -> DataFrame:
     """``key, hits``: ['exact'] where the normalised text is a question's, else the sorted ids of similar questions.
 
     ``questions`` has ``eval_id`` and ``question``; null and empty ones don't count. Rows without a hit are left
-    out. Texts without words equal a question without words and are similar to none.
+    out. Texts without words equal a question without words and are similar to none. ``sets``: the rows'
+    :func:`shingle_sets`, where they are there already.
     """
-    asked = questions.where("question is not null and question != ''").select(F.lit(None).cast(rows.schema[key].dataType).alias("key"), F.col("eval_id").alias("eval_id"), F.col("question").alias("text"))
-    given = rows.select(F.col(key).alias("key"), F.lit(None).cast(questions.schema["eval_id"].dataType).alias("eval_id"), F.col(text).alias("text"))
-    both = given.withColumn("asked", F.lit(False)).unionByName(asked.withColumn("asked", F.lit(True))).withColumn("norm", normalize_text("text"))
-    names = ["key", "eval_id", "asked", "t1", "t2"]
-    named = both.select("key", "eval_id", "asked", F.xxhash64("norm").alias("t1"), F.xxhash64(F.lit(1), "norm").alias("t2"), "norm")
-    every = run_sets(named, "norm", names, blanks=True, name="hit-sets", wordless=True)
-    exact = every.where("not asked").join(every.where("asked").select("t1", "t2").distinct(), ["t1", "t2"], "left_semi").select("key", F.array(F.lit("exact")).alias("hits"))
+    given = shingle_sets(rows, key, text) if sets is None else sets
+    held = shingle_sets(questions.where("question is not null and question != ''"), "eval_id", "question")
+    exact = given.join(held.select("t1", "t2").distinct(), ["t1", "t2"], "left_semi").select("key", F.array(F.lit("exact")).alias("hits"))
     exact = stage(exact, "exact-hits")
-    sets = every.where("n > 0")
-    questions_named = sets.where("asked")
-    near = similar_classes(sets, threshold, "not asked", "asked")
-    ids = near.join(questions_named.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), "eval_id"), ["b1", "b2"])
+    given, held = given.where("n > 0"), held.where("n > 0")
+    both = given.select(F.lit(False).alias("asked"), "c1", "c2", "n", "runs").unionByName(held.select(F.lit(True).alias("asked"), "c1", "c2", "n", "runs"))
+    near = similar_classes(both, threshold, "not asked", "asked")
+    ids = near.join(held.select(F.col("c1").alias("b1"), F.col("c2").alias("b2"), F.col("key").alias("eval_id")), ["b1", "b2"])
     by_class = ids.groupBy(F.col("a1").alias("c1"), F.col("a2").alias("c2")).agg(F.array_sort(F.collect_set("eval_id")).alias("hits"))
-    hit = sets.where("not asked").select("key", "c1", "c2").join(exact.select("key"), "key", "left_anti").join(by_class, ["c1", "c2"])
+    hit = given.select("key", "c1", "c2").join(exact.select("key"), "key", "left_anti").join(by_class, ["c1", "c2"])
     return exact.unionByName(hit.select("key", "hits"))
 
 
-def earlier_duplicates(rows: DataFrame, key: str, text: str, threshold: float = 0.8) -> DataFrame:
+def earlier_duplicates(rows: DataFrame, key: str, text: str, threshold: float = 0.8, sets: DataFrame | None = None) -> DataFrame:
     """``key, hits``: for each row the sorted keys of earlier rows (by key) that it repeats or nearly repeats.
 
     Of rows with one normalised text only the first is compared with later ones. A row that is itself a
     duplicate still counts as an earlier row, so this is a join and needs no recursion. Texts without words
     repeat nothing. The hits of a class of texts are gathered once and each row takes the earlier ones.
+    ``sets``: the rows' :func:`shingle_sets`, where they are there already.
     """
-    sets = shingle_sets(rows, key, text)
+    sets = (shingle_sets(rows, key, text) if sets is None else sets).where("n > 0")
     first = stage(sets.groupBy("t1", "t2", "c1", "c2").agg(F.min("key").alias("first")), "first-texts")
     near = similar_classes(sets, threshold).select("a1", "a2", "b1", "b2")
     own = first.select(F.col("c1").alias("a1"), F.col("c2").alias("a2")).distinct().select("a1", "a2", F.col("a1").alias("b1"), F.col("a2").alias("b2"))
