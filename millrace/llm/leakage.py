@@ -88,6 +88,24 @@ def smith_waterman(a: np.ndarray, b: np.ndarray, match: int = 2, miss: int = -1,
     return best
 
 
+def words_met(w: Words, text: np.ndarray, item: np.ndarray, flat: np.ndarray, begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For each pair of a text and an item, ordered by text, how many of the item's words the text has, all items of a text at once.
+
+    An alignment's score is at most twice that, so it tells which of the many items that share a common run need no alignment.
+    """
+    out = np.zeros(len(text), np.int64)
+    head = np.flatnonzero(np.concatenate((np.ones(min(1, len(text)), bool), text[1:] != text[:-1])))
+    for lo, hi in zip(head, np.append(head[1:], len(text))):
+        doc = np.unique(w.hash[w.at[text[lo]] : w.at[text[lo] + 1]])
+        own = item[lo:hi]
+        n = sizes[own]
+        at = np.repeat(begin[own] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        found = np.searchsorted(doc, flat[at])
+        met = doc[np.minimum(found, len(doc) - 1)] == flat[at]
+        out[lo:hi] = np.add.reduceat(met, np.cumsum(n) - n, dtype=np.int64)
+    return out
+
+
 def best_alignment(doc: np.ndarray, q: np.ndarray, least: float = 0) -> int:
     """Best score of a local alignment of an item with a whole document, or 0 if it is certainly below ``least``.
 
@@ -149,6 +167,8 @@ def _block(documents: DataFrame, part: DataFrame, seed_words: int, window: int,
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         it = shared.value
         by_size = {}
+        sizes = np.array([len(q) for q in it.words], np.int64)
+        flat, begin = np.concatenate([np.zeros(0, U), *it.words]), np.cumsum(sizes) - sizes
         for n in np.unique(it.seed_size):
             own = np.flatnonzero(it.seed_size == n)
             h = np.unique(it.seed_hash[own])
@@ -163,9 +183,11 @@ def _block(documents: DataFrame, part: DataFrame, seed_words: int, window: int,
                     hit = np.repeat(np.arange(len(at)), count)
                     s = own[low[at][hit] + np.arange(len(hit)) - (np.cumsum(count) - count)[hit]]
                     place = pos[hit] - w.at[text[hit]]
-                    for t, item, run in zip(*(x.tolist() for x in longest_runs(text[hit], it.seed_item[s], place - it.seed_pos[s], place, n))):
+                    pairs = longest_runs(text[hit], it.seed_item[s], place - it.seed_pos[s], place, n)
+                    copies = pairs[2] >= np.minimum(window, sizes[pairs[1]])
+                    may = copies | (words_met(w, pairs[0], pairs[1], flat, begin, sizes) >= least_score * sizes[pairs[1]] - 1e-9)
+                    for t, item, run, copied in zip(*(x[may].tolist() for x in (*pairs, copies))):
                         doc, q = w.hash[w.at[t] : w.at[t + 1]], it.words[item]
-                        copied = run >= min(window, len(q))
                         best = 2 * len(q) if run == len(q) else best_alignment(doc, q, 0 if copied else 2 * least_score * len(q))
                         score = best / (2 * len(q))
                         if copied or score >= least_score:
